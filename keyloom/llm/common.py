@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -65,11 +67,10 @@ def prepare(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_keyloom_sent", False):
         return
-    top = Path(__file__).resolve().parents[2]
-    with tempfile.TemporaryDirectory() as folder:
-        archive = Path(folder, "keyloom_package.zip")
-        with zipfile.ZipFile(archive, "w") as z:
-            for p in sorted((top / "keyloom").rglob("*.py")):
-                z.write(p, p.relative_to(top))
-        sc.addPyFile(str(archive))
+    top, folder = Path(__file__).resolve().parents[2], tempfile.mkdtemp()  # the driver serves the archive as long as it runs
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(archive := Path(folder, "keyloom_package.zip"), "w") as z:
+        for p in sorted((top / "keyloom").rglob("*.py")):
+            z.write(p, p.relative_to(top))
+    sc.addPyFile(str(archive))
     sc._keyloom_sent = True
