@@ -10,6 +10,7 @@ from keyloom.llm.jaccard_join import jaccard_join
 from keyloom.llm.line_dedup import dedup_lines
 from keyloom.llm.packing import pack
 from keyloom.llm.quality import judge_quality
+from keyloom.llm.token_files import token_table
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_table(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
@@ -32,5 +39,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op7_best_fit_packing, op9_ngram_jaccard_join, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op7_best_fit_packing, op8_token_files, op9_ngram_jaccard_join, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
