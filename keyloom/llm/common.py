@@ -38,7 +38,7 @@ def save(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back, which cuts its lineage and outlives executors."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     writer = df.write.partitionBy(*by) if by else df.write
-    writer.option("compression", "zstd").parquet(path)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
