@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import read
+from keyloom.llm.decontamination import leaks
 from keyloom.llm.jaccard_join import jaccard_join
 from keyloom.llm.line_dedup import dedup_lines
 from keyloom.llm.packing import pack
@@ -18,6 +19,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,5 +44,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op7_best_fit_packing, op8_token_files, op9_ngram_jaccard_join, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_benchmark_decontamination, op7_best_fit_packing, op8_token_files, op9_ngram_jaccard_join, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
