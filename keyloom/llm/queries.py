@@ -10,8 +10,15 @@ from keyloom.llm.decontamination import leaks
 from keyloom.llm.jaccard_join import jaccard_join
 from keyloom.llm.line_dedup import dedup_lines
 from keyloom.llm.packing import pack
+from keyloom.llm.pii import KINDS, counted, find_personal_data, listed
 from keyloom.llm.quality import judge_quality
 from keyloom.llm.token_files import token_table
+from keyloom.llm.toxicity import score_toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +26,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_personal_data(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", *[counted("base", k) for k in KINDS], F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -44,5 +56,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_benchmark_decontamination, op7_best_fit_packing, op8_token_files, op9_ngram_jaccard_join, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_personal_data, op5_benchmark_decontamination, op7_best_fit_packing, op8_token_files, op9_ngram_jaccard_join, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
