@@ -12,7 +12,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +28,10 @@ from keyloom.llm.shingles import mixed, shingle_set
 PERCENT = 80
 #: Token orders; the first generates candidates, the others filter them.
 ORDERS = 3
-#: Heavy tokens that a task reports at most, how often it must have seen them, and how many are ordered by frequency. These
-#: bound the ordering's table, not the result.
-TASK_HEAVY, TASK_LEAST, HEAVY = 8192, 8, 65536
+#: Tokens that a task reports at most, and how many are ordered by frequency. These bound the ordering's table, not the result.
+TASK_HEAVY, HEAVY = 1 << 17, 1 << 20
+#: Tokens that a task gathers before it counts them.
+COUNT_EVERY = 6_000_000
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -44,18 +44,20 @@ def _set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of kind 0 (id, size, set hash) and, at the task's end, of kind 1 (token, count)."""
-    heavy: Counter = Counter()
+    """Rows of kind 0 (id, size, set hash) and, at the task's end, of kind 1 (token, count) for tokens of several sets."""
     seen: set[int] = set()
     held: list[np.ndarray] = []
-    n_held = 0
+    n_held, tokens, counts = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def count() -> None:
-        if held:
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n >= 2
-            heavy.update(dict(zip(_signed(tokens[keep]).tolist(), n[keep].tolist(), strict=True)))
-            held.clear()
+        nonlocal tokens, counts, n_held
+        new, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+        new, n = new[n >= 2], n[n >= 2]
+        both, at = np.unique(np.concatenate([tokens, new]), return_inverse=True)
+        sums = np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
+        keep = np.argsort(-sums, kind="stable")[:TASK_HEAVY]
+        tokens, counts, n_held = both[keep], sums[keep], 0
+        held.clear()
 
     for batch in batches:
         rows = []
@@ -67,15 +69,27 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add(a)
                 held.append(s)
                 n_held += len(s)
-                if n_held > 2_000_000:
+                if n_held > COUNT_EVERY:
                     count()
-                    n_held = 0
-                    if len(heavy) > 8 * TASK_HEAVY:
-                        for k, _ in heavy.most_common()[4 * TASK_HEAVY :]:
-                            del heavy[k]
         yield _rows(rows)
     count()
-    yield _rows([(1, k, n, 0, 0) for k, n in heavy.most_common(TASK_HEAVY) if n >= TASK_LEAST])
+    zeros = np.zeros(len(tokens), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((zeros + 1, _signed(tokens), counts, zeros, zeros), SCAN.types, strict=True)], schema=SCAN)
+
+
+def _heavy(scanned: DataFrame) -> np.ndarray:
+    """The tokens that most sets have, the most frequent first: all above a frequency that leaves at most HEAVY."""
+    sums = scanned.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n"))
+    sums = save(sums, "heavy-tokens")
+    least, total = 2, 0
+    for r in sums.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).collect():  # at most 10,000 rows
+        total += r["count"]
+        if total > HEAVY:
+            least = r.n + 1
+            break
+    table = sums.where(F.col("n") >= least).toArrow()
+    tokens, n = table.column("a").to_numpy(), table.column("n").to_numpy()
+    return tokens[np.lexsort((tokens, -n))]
 
 
 SCAN = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
@@ -88,8 +102,8 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 class Orders:
     """The global token orders: by rank among the heavy tokens (all others before them), then by a scrambling."""
 
-    def __init__(self, heavy: list[int]):
-        tokens = np.array(heavy, np.int64).view(np.uint64)  # the heaviest first
+    def __init__(self, heavy: np.ndarray):
+        tokens = heavy.view(np.uint64)  # the most frequent first
         at = np.argsort(tokens)
         self.tokens, self.ranks = tokens[at], (len(tokens) - at).astype(np.int64)
 
@@ -130,8 +144,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     rows = documents(docs)
     scanned = save(rows.mapInArrow(_scan, "kind int, a long, n long, s1 long, s2 long"), "shingle-sets")
     sets = scanned.where("kind = 0").select(F.col("a").alias("id"), "n", "s1", "s2")
-    top = scanned.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(HEAVY).collect()
-    heavy = spark.sparkContext.broadcast([r.a for r in top])
+    heavy = spark.sparkContext.broadcast(_heavy(scanned))
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders, seen = Orders(heavy.value), set()
@@ -172,6 +185,9 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([i for i, k in zip(v, keep, strict=True) if k], pa.int64()) for v in (a, b)], names=["a", "b"])
 
     def verified(candidates: DataFrame) -> DataFrame:
+        sizes = members_of.select("node", (F.octet_length("tokens") / 8).cast("long").alias("n"))
+        near = candidates.join(sizes.select(F.col("node").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("node").alias("y"), F.col("n").alias("ny")), "y")
+        candidates = save(near.where(100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny")).select("x", "y").distinct(), "near")
         left = members_of.select(F.col("node").alias("x"), F.col("rep").alias("a"), F.col("tokens").alias("xs"))
         right = members_of.select(F.col("node").alias("y"), F.col("rep").alias("b"), F.col("tokens").alias("ys"))
         return candidates.join(left, "x").join(right, "y").where("a != b").select("a", "b", "xs", "ys").mapInArrow(verify, "a long, b long")
