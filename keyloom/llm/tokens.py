@@ -8,6 +8,8 @@ differ are encoded whole.
 
 from __future__ import annotations
 
+import gc
+import os
 import re
 import unicodedata
 from functools import cache
@@ -16,7 +18,7 @@ from itertools import chain
 import numpy as np
 
 #: A worker's tables are emptied beyond this number of entries.
-MOST = 500_000
+MOST = 1_200_000
 #: Only texts of characters below this, and of common punctuation, are split here.
 PLAIN = 0x250
 WHITE = "\\x09-\\x0d\\x20\\xa0"
@@ -59,6 +61,7 @@ class Encoder:
     """encode(texts) -> ids of each as numpy uint32; its vocabulary is one of words (lower-cased) or of bytes."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -93,7 +96,15 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; None is an empty text."""
-        texts = [t or "" for t in texts]
+        collects, texts = gc.isenabled(), [t or "" for t in texts]
+        gc.disable()  # nothing here is cyclic, and the tables are large to walk
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [None if DOUBTFUL.search(t) else t.lower().split() if self.by_word else CHUNK.findall(t) for t in texts]
         self._learn(set().union(*(s for s in split if s)))
         return [np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32) if own is None else self.words.get(own)[0] for text, own in zip(texts, split, strict=True)]
