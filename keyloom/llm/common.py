@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -74,3 +75,9 @@ def prepare(spark: SparkSession) -> None:
             z.write(p, p.relative_to(top))
     sc.addPyFile(str(archive))
     sc._keyloom_sent = True
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

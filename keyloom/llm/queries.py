@@ -12,6 +12,7 @@ from keyloom.llm.line_dedup import dedup_lines
 from keyloom.llm.packing import pack
 from keyloom.llm.pii import KINDS, counted, find_personal_data, listed
 from keyloom.llm.quality import judge_quality
+from keyloom.llm.suffix_dedup import remove_repeats
 from keyloom.llm.token_files import token_table
 from keyloom.llm.toxicity import score_toxicity
 
@@ -35,6 +36,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,5 +61,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_personal_data, op5_benchmark_decontamination, op7_best_fit_packing, op8_token_files, op9_ngram_jaccard_join, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_personal_data, op5_benchmark_decontamination, op6_suffix_dedup, op7_best_fit_packing, op8_token_files, op9_ngram_jaccard_join, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
