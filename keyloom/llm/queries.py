@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import read
 from keyloom.llm.decontamination import leaks
+from keyloom.llm.html_extraction import extract_text
 from keyloom.llm.jaccard_join import jaccard_join
 from keyloom.llm.line_dedup import dedup_lines
 from keyloom.llm.packing import pack
@@ -32,6 +33,10 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[counted("base", k) for k in KINDS], F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read(spark, sf_dir, "pages"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -61,5 +66,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_personal_data, op5_benchmark_decontamination, op6_suffix_dedup, op7_best_fit_packing, op8_token_files, op9_ngram_jaccard_join, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_personal_data, op4_html_extraction, op5_benchmark_decontamination, op6_suffix_dedup, op7_best_fit_packing, op8_token_files, op9_ngram_jaccard_join, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
