@@ -66,5 +66,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_personal_data, op4_html_extraction, op5_benchmark_decontamination, op6_suffix_dedup, op7_best_fit_packing, op8_token_files, op9_ngram_jaccard_join, op10_quality_rules)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_personal_data, op4_html_extraction, op5_benchmark_decontamination, op6_suffix_dedup, op7_best_fit_packing, op8_token_files, op9_ngram_jaccard_join, op10_quality_rules, pipeline)}
 ORACLE_SQL: dict[str, str] = {}
