@@ -113,21 +113,33 @@ class Orders:
         if len(self.tokens):
             at = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
             rank = np.where(self.tokens[at] == s, self.ranks[at], 0)
-        most = len(s) - (PERCENT * len(s) + 99) // 100 + 1
+        most = _most(len(s))
         scrambled = mixed(s, order + 1)
         if not rank.any():
             return s if most >= len(s) else s[np.argpartition(scrambled, most - 1)[:most]]
         return s[np.lexsort((scrambled, rank))[:most]]
 
 
-def linked(x: np.ndarray, y: np.ndarray, orders: Orders) -> bool:
-    small, large = sorted((len(x), len(y)))
-    if 100 * small < PERCENT * large:
+def _most(n: int) -> int:
+    """The length of a prefix: linked sets differ in less."""
+    return n - (PERCENT * n + 99) // 100 + 1
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted arrays without repeats share."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
+
+
+def linked(x: np.ndarray, y: np.ndarray, xp: np.ndarray, yp: np.ndarray) -> bool:
+    """Whether two sets link; xp and yp have their sorted prefixes under the orders after the first, in a row."""
+    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
         return False
-    for order in range(1, ORDERS):
-        if not len(np.intersect1d(orders.prefix(x, order), orders.prefix(y, order), assume_unique=True)):
-            return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    i, j = _most(len(x)), _most(len(y))
+    if not all(_common(xp[k * i : (k + 1) * i], yp[k * j : (k + 1) * j]) for k in range(ORDERS - 1)):
+        return False
+    both = _common(x, y)
     return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
@@ -167,30 +179,30 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     wanted = nodes.join(pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y"))).distinct(), "node", "left_semi").select("node", F.col("rep").alias("id"), "s2")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders = Orders(heavy.value)
         for batch in batches:
             keep = []
             for i, node, s2, text in zip(*[batch.column(c).to_pylist() for c in ("id", "node", "s2", "text")], strict=True):
                 s = shingle_set(text)
                 if len(s) and _set_key(s) == (node, s2):
-                    keep.append((i, node, s.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in keep], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["rep", "node", "tokens"])
+                    keep.append((i, node, s.tobytes(), b"".join(np.sort(orders.prefix(s, k)).tobytes() for k in range(1, ORDERS))))
+            yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in keep], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["rep", "node", "tokens", "prefixes"])
 
-    members_of = save(rows.join(wanted, "id").mapInArrow(members, "rep long, node long, tokens binary").dropDuplicates(["rep", "node"]), "members")
+    members_of = save(rows.join(wanted, "id").mapInArrow(members, "rep long, node long, tokens binary, prefixes binary").dropDuplicates(["rep", "node"]), "members")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = Orders(heavy.value)
         for batch in batches:
-            a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "xs", "ys"))
-            keep = [linked(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), orders) for s, t in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, k in zip(v, keep, strict=True) if k], pa.int64()) for v in (a, b)], names=["a", "b"])
+            sets = [[np.frombuffer(v, np.uint64) for v in batch.column(c).to_pylist()] for c in ("xs", "ys", "xp", "yp")]
+            keep = pa.array([linked(*both) for both in zip(*sets, strict=True)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep)
 
     def verified(candidates: DataFrame) -> DataFrame:
         sizes = members_of.select("node", (F.octet_length("tokens") / 8).cast("long").alias("n"))
         near = candidates.join(sizes.select(F.col("node").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("node").alias("y"), F.col("n").alias("ny")), "y")
         candidates = save(near.where(100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny")).select("x", "y").distinct(), "near")
-        left = members_of.select(F.col("node").alias("x"), F.col("rep").alias("a"), F.col("tokens").alias("xs"))
-        right = members_of.select(F.col("node").alias("y"), F.col("rep").alias("b"), F.col("tokens").alias("ys"))
-        return candidates.join(left, "x").join(right, "y").where("a != b").select("a", "b", "xs", "ys").mapInArrow(verify, "a long, b long")
+        left = members_of.select(F.col("node").alias("x"), F.col("rep").alias("a"), F.col("tokens").alias("xs"), F.col("prefixes").alias("xp"))
+        right = members_of.select(F.col("node").alias("y"), F.col("rep").alias("b"), F.col("tokens").alias("ys"), F.col("prefixes").alias("yp"))
+        return candidates.join(left, "x").join(right, "y").where("a != b").select("a", "b", "xs", "ys", "xp", "yp").mapInArrow(verify, "a long, b long")
 
     first = save(verified(pairs), "links")
     labels = components(first)
