@@ -32,14 +32,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document has go, and documents of which no character is left."""
+    """Lines that an earlier document has go; a document of which nothing is left stays with an empty text."""
     deduped = dedup_lines(docs).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "n_dropped", "kept")
     deduped = deduped.where("n_dropped > 0").dropDuplicates(["id", "th"])
     own = docs.select(*COLUMNS).withColumns({"id": F.coalesce("doc_id", F.lit(LAST_ID)), "th": F.xxhash64(F.coalesce("text", F.lit("")))})
     out = own.join(deduped, ["id", "th"], "left")
     kept = F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("text"))
-    out = out.select("doc_id", kept.alias("text"), "lang", "source", F.when(F.col("n_dropped") > 0, F.char_length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"), "n_dropped")
-    return out.where(F.col("n_dropped").isNull() | (F.col("text") != "")).select(*COLUMNS)
+    return out.select("doc_id", kept.alias("text"), "lang", "source", F.when(F.col("n_dropped") > 0, F.char_length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
