@@ -329,11 +329,11 @@ def load_lists_sorted(spark, sf_dir):
     return rows.select("key", F.array_join(F.transform("i", lambda x: x["value"]), ",").alias("items"))
 
 
-@query(f"SELECT k AS key, event_type AS value FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts DESC, event_id DESC) n FROM {E} WHERE (ts, event_id) > (SELECT (ts, event_id) FROM events WHERE event_id % 500 = 499 ORDER BY ts DESC, event_id DESC LIMIT 1)) WHERE n = 1")
+@query(f"SELECT k AS key, event_type AS value FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts DESC, event_id DESC) n FROM {E} WHERE (ts, event_id) > (SELECT (ts, event_id) FROM events WHERE event_id % 500 = 250 ORDER BY ts DESC, event_id DESC LIMIT 1)) WHERE n = 1")
 def flushall_epoch(spark, sf_dir):
     own = logs.events(spark, sf_dir)
-    barriers = own.where("event_id % 500 = 499").select("ts", F.col("event_id").alias("seq"))
-    log = batch.epochs(logs.sets(spark, sf_dir).where("seq % 500 <> 499"), barriers)
+    barriers = own.where("event_id % 500 = 250").select("ts", F.col("event_id").alias("seq"))
+    log = batch.epochs(logs.sets(spark, sf_dir).where("seq % 500 <> 250"), barriers)
     return batch.last_values(log.where(F.col("epoch") == barriers.count()).drop("epoch"))
 
 
@@ -407,8 +407,8 @@ def host_compose_window(spark, sf_dir):
     return rows.select("key", "type", F.row_number().over(Window.partitionBy("type").orderBy(F.desc("size"), "key")).cast("long").alias("rank"))
 
 
-@query(f"SELECT k AS key FROM {E} WHERE event_type = 'purchase' INTERSECT SELECT k FROM {E} WHERE event_type = 'view' EXCEPT SELECT k FROM {E} WHERE event_type = 'signup'")
+@query(f"SELECT k AS key FROM {E} WHERE event_type = 'purchase' INTERSECT SELECT k FROM {E} WHERE event_type = 'view' EXCEPT SELECT k FROM {E} WHERE event_type = 'signup' AND event_id % 25 = 0")
 def host_compose_setop(spark, sf_dir):
-    own = logs.events(spark, sf_dir).select(logs.user().alias("key"), "event_type")
-    of = lambda kind: own.where(F.col("event_type") == kind).select("key")
-    return of("purchase").intersect(of("view")).subtract(of("signup"))
+    own = logs.events(spark, sf_dir).select(logs.user().alias("key"), "event_type", "event_id")
+    of = lambda kind: own.where(F.col("event_type") == kind)
+    return of("purchase").select("key").intersect(of("view").select("key")).subtract(of("signup").where("event_id % 25 = 0").select("key"))
