@@ -40,7 +40,9 @@ def save(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     writer = df.write.partitionBy(*by) if by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
 
 
 def documents(docs: DataFrame) -> DataFrame:
@@ -77,6 +79,12 @@ def prepare(spark: SparkSession) -> None:
     sc._keyloom_sent = True
 
 
+def discard(saved: DataFrame) -> None:
+    """Delete a saved table that nothing reads any more."""
+    path = saved.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(saved.saved_at)
+    path.getFileSystem(saved.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to any more."""
     gc.collect()

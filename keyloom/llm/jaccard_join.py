@@ -3,11 +3,12 @@
 1. Sets: one scan yields each document's set size and a 128-bit hash of its set; equal sets are one node.
 2. Orders: tokens that are frequent come last in all orders; ties are broken by another scrambling in each order. Any order
    that is the same for all sets is correct, so frequencies may be a bounded list of heavy tokens.
-3. Candidates: two sets that link share a token of their prefixes under every order. Postings of the first order's prefixes
-   are grouped by token; each node is paired with the token's pivot (its smallest node), which is linear in the postings.
-4. Verification: a pair must share prefix tokens under the other orders too, and then its sets are intersected.
+3. Candidates: different sets that link share SHARED tokens of their prefixes under every order. Postings of the first order's
+   prefixes are grouped by token; each node is paired with the token's pivot (its smallest node), which is linear in the
+   postings, and pairs that share too few tokens go.
+4. Verification: a pair must share as many prefix tokens under the other orders, and then its sets are intersected.
 5. Tokens whose nodes lie in one component after that need no more pairs. For the others all pairs of nodes from different
-   components are verified too, so no link between components is lost.
+   components that share enough tokens are verified too, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import doc_id, documents, prepare, save
+from keyloom.llm.common import discard, doc_id, documents, prepare, release, save
 from keyloom.llm.components import components
 from keyloom.llm.shingles import mixed, shingle_set
 
@@ -28,8 +29,12 @@ from keyloom.llm.shingles import mixed, shingle_set
 PERCENT = 80
 #: Token orders; the first generates candidates, the others filter them.
 ORDERS = 3
+#: Prefix tokens that a linked pair must share. Different sets that link have four tokens in common at least.
+SHARED = 3
 #: Tokens that a task reports at most, and how many are ordered by frequency. These bound the ordering's table, not the result.
 TASK_HEAVY, HEAVY = 1 << 17, 1 << 20
+#: Bits of the filter before the table of heavy tokens.
+FILTER = 1 << 25
 #: Tokens that a task gathers before it counts them.
 COUNT_EVERY = 6_000_000
 
@@ -106,13 +111,18 @@ class Orders:
         tokens = heavy.view(np.uint64)  # the most frequent first
         at = np.argsort(tokens)
         self.tokens, self.ranks = tokens[at], (len(tokens) - at).astype(np.int64)
+        low = tokens & np.uint64(FILTER - 1)
+        self.seen = np.zeros(FILTER // 8, np.uint8)
+        np.bitwise_or.at(self.seen, (low >> np.uint64(3)).astype(np.int64), np.uint8(1) << (low & np.uint64(7)).astype(np.uint8))
 
     def prefix(self, s: np.ndarray, order: int) -> np.ndarray:
         """The tokens of which a linked set must have one in its own prefix."""
         rank = np.zeros(len(s), np.int64)
-        if len(self.tokens):
-            at = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
-            rank = np.where(self.tokens[at] == s, self.ranks[at], 0)
+        low = s & np.uint64(FILTER - 1)  # few tokens are heavy: a bit for each value of the low bits tells most others
+        maybe = np.flatnonzero(self.seen[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & np.uint8(1))
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.tokens, s[maybe]), len(self.tokens) - 1)
+            rank[maybe] = np.where(self.tokens[at] == s[maybe], self.ranks[at], 0)
         most = _most(len(s))
         scrambled = mixed(s, order + 1)
         if not rank.any():
@@ -121,8 +131,8 @@ class Orders:
 
 
 def _most(n: int) -> int:
-    """The length of a prefix: linked sets differ in less."""
-    return n - (PERCENT * n + 99) // 100 + 1
+    """The length of a prefix: of n tokens a linked set has PERCENT, so it has SHARED of these."""
+    return min(n, n - (PERCENT * n + 99) // 100 + SHARED)
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -137,7 +147,7 @@ def linked(x: np.ndarray, y: np.ndarray, xp: np.ndarray, yp: np.ndarray) -> bool
     if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
         return False
     i, j = _most(len(x)), _most(len(y))
-    if not all(_common(xp[k * i : (k + 1) * i], yp[k * j : (k + 1) * j]) for k in range(ORDERS - 1)):
+    if any(_common(xp[k * i : (k + 1) * i], yp[k * j : (k + 1) * j]) < SHARED for k in range(ORDERS - 1)):
         return False
     both = _common(x, y)
     return 100 * both >= PERCENT * (len(x) + len(y) - both)
@@ -170,13 +180,20 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
                     nodes.append(np.full(len(p), key, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), pa.array(np.concatenate(nodes))], names=["token", "node"])
 
-    posted = rows.select("text").mapInArrow(postings, "token long, node long")
-    shared = posted.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("token", "pivot")
-    posted = save(posted.join(shared, "token").distinct(), "postings")
-    pairs = save(posted.where("node != pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct(), "pairs")
+    raw = save(rows.select("text").mapInArrow(postings, "token long, node long"), "prefixes")
+    shared = raw.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("token", "pivot")
+    posted = save(raw.join(shared, "token").distinct(), "postings")
+    discard(raw)
+    release(spark)
+    nodes = save(sets.where("n > 0").groupBy(F.col("s1").alias("node"), "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "nodes")
 
-    nodes = sets.where("n > 0").groupBy(F.col("s1").alias("node"), "s2").agg(F.min("id").alias("rep"))
-    wanted = nodes.join(pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y"))).distinct(), "node", "left_semi").select("node", F.col("rep").alias("id"), "s2")
+    def similar_in_size(pairs: DataFrame) -> DataFrame:
+        of = lambda c: nodes.groupBy(F.col("node").alias(c)).agg(F.min("n").alias(f"least_{c}"), F.max("n").alias(f"most_{c}"))
+        fits = (100 * F.col("most_x") >= PERCENT * F.col("least_y")) & (100 * F.col("most_y") >= PERCENT * F.col("least_x"))
+        return pairs.join(of("x"), "x").join(of("y"), "y").where(fits).select("x", "y")
+
+    pairs = posted.where("node != pivot").groupBy(F.col("pivot").alias("x"), F.col("node").alias("y")).count().where(F.col("count") >= SHARED)
+    pairs = save(similar_in_size(pairs), "pairs")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = Orders(heavy.value)
@@ -188,7 +205,12 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
                     keep.append((i, node, s.tobytes(), b"".join(np.sort(orders.prefix(s, k)).tobytes() for k in range(1, ORDERS))))
             yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in keep], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["rep", "node", "tokens", "prefixes"])
 
-    members_of = save(rows.join(wanted, "id").mapInArrow(members, "rep long, node long, tokens binary, prefixes binary").dropDuplicates(["rep", "node"]), "members")
+    def members_of(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
+        wanted = nodes.join(wanted, "node", "left_semi").select("node", F.col("rep").alias("id"), "s2")
+        out = save(rows.join(wanted, "id").mapInArrow(members, "rep long, node long, tokens binary, prefixes binary"), "members")
+        release(spark)
+        return out
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,24 +218,27 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
             keep = pa.array([linked(*both) for both in zip(*sets, strict=True)], pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
 
-    def verified(candidates: DataFrame) -> DataFrame:
-        sizes = members_of.select("node", (F.octet_length("tokens") / 8).cast("long").alias("n"))
-        near = candidates.join(sizes.select(F.col("node").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("node").alias("y"), F.col("n").alias("ny")), "y")
-        candidates = save(near.where(100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny")).select("x", "y").distinct(), "near")
-        left = members_of.select(F.col("node").alias("x"), F.col("rep").alias("a"), F.col("tokens").alias("xs"), F.col("prefixes").alias("xp"))
-        right = members_of.select(F.col("node").alias("y"), F.col("rep").alias("b"), F.col("tokens").alias("ys"), F.col("prefixes").alias("yp"))
-        return candidates.join(left, "x").join(right, "y").where("a != b").select("a", "b", "xs", "ys", "xp", "yp").mapInArrow(verify, "a long, b long")
-
-    first = save(verified(pairs), "links")
+    def verified(pairs: DataFrame) -> DataFrame:
+        own = members_of(pairs)
+        left = own.select(F.col("node").alias("x"), F.col("rep").alias("a"), F.col("tokens").alias("xs"), F.col("prefixes").alias("xp"))
+        right = own.select(F.col("node").alias("y"), F.col("rep").alias("b"), F.col("tokens").alias("ys"), F.col("prefixes").alias("yp"))
+        links = pairs.join(left, "x").join(right, "y").where("a != b").select("a", "b", "xs", "ys", "xp", "yp").mapInArrow(verify, "a long, b long")
+        links = save(links.distinct(), "links")
+        discard(own)
+        release(spark)
+        return links
+
+    first = verified(pairs)
     labels = components(first)
     # Tokens that still join several components.
-    placed = members_of.select("node", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("label", "rep").alias("label"))
+    placed = nodes.select("node", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("label", "rep").alias("label"))
     placed = save(posted.select("token", "node").join(placed, "node"), "placed")
     several = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
     open_ = save(placed.join(several, "token"), "open")
     far = open_.select("token", F.col("node").alias("x"), F.col("label").alias("lx")).join(open_.select("token", F.col("node").alias("y"), F.col("label").alias("ly")), "token").where("lx < ly")
-    far = far.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().join(pairs, ["x", "y"], "left_anti")
-    second = save(verified(far), "links")
+    far = far.select("token", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).groupBy("x", "y").count().where(F.col("count") >= SHARED).select("x", "y")
+    far = save(similar_in_size(far).join(pairs, ["x", "y"], "left_anti"), "far-pairs")
+    second = first.limit(0) if far.isEmpty() else verified(far)
     links = first.union(second)
     if not second.isEmpty():
         labels = components(links)
