@@ -6,8 +6,9 @@ in a hundred positions. With an anchor goes the hash of its context, the union o
 
 1. anchors whose gram is found once have no window of interest;
 2. contexts found twice are duplicate as a whole: all their windows are;
-3. for the others the offsets of their windows are cut into blocks, for which the same is asked: the bytes that all windows
-   of a block share (found once: none is duplicate), and those that they cover (found twice: all are);
+3. for the others the offsets of their windows are cut into blocks, and open blocks into finer ones, for which the same is
+   asked: the bytes that all windows of a block share (found once: none is duplicate), and those that they cover (found
+   twice: all are);
 4. in blocks still open, the suffixes at each offset are sorted per batch by a mergesort that compares two suffixes by
    binary search for their common extension over the prefix hashes; neighbours that agree over LENGTH bytes are compared byte
    by byte, and classes of equal windows are counted over all batches by a digest of their bytes.
@@ -26,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import doc_id, documents, prepare, release, save
+from keyloom.llm.common import discard, doc_id, documents, prepare, release, save
 from keyloom.llm.shingles import mixed
 
 LENGTH, GRAM = 400, 200
 SPREAD = LENGTH - GRAM
-#: Offsets of a block, and start positions that are hashed at a time in a long text.
-BLOCK, SEGMENT = 21, 1 << 20
+#: Offsets of a block, each a multiple of the next, and start positions that are hashed at a time in a long text.
+BLOCKS, SEGMENT = (21, 3), 1 << 20
 #: Odd multiplier of the polynomial hash, modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 
@@ -168,61 +169,69 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for i, t, text, found in zip(*(batch.column(c).to_pylist() for c in ("id", "t", "text", "open")), strict=True):
             data = text.encode()
-            rows += [(i, t, x["at"], x["low"], x["high"], x["n"], data[x["at"] - SPREAD + x["low"] : x["at"] - SPREAD + x["high"] + LENGTH]) for x in found]
-        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.binary()))], names=["id", "t", "at", "low", "high", "n", "bytes"])
+            rows += [(i, t, x["at"], x["low"], x["high"], data[x["at"] - SPREAD + x["low"] : x["at"] - SPREAD + x["high"] + LENGTH]) for x in found]
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.binary()))], names=["id", "t", "at", "low", "high", "bytes"])
 
 
-def _aligned(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts as rows of bytes in which column c is offset c, with first and last offset."""
-    low, high = batch.column("low").to_numpy().astype(np.int64), batch.column("high").to_numpy().astype(np.int64)
+def _aligned(batch: pa.RecordBatch) -> np.ndarray:
+    """Contexts as rows of bytes in which column c is offset c."""
     data = np.zeros((batch.num_rows, SPREAD + LENGTH), np.uint8)
-    for k, b in enumerate(batch.column("bytes").to_pylist()):
-        data[k, low[k] : low[k] + len(b)] = np.frombuffer(b, np.uint8)
-    return data, low, high
+    for k, (low, b) in enumerate(zip(batch.column("low").to_pylist(), batch.column("bytes").to_pylist(), strict=True)):
+        data[k, low : low + len(b)] = np.frombuffer(b, np.uint8)
+    return data
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each context and block of offsets the hash of what all its windows share and of what they cover."""
-    for batch in batches:
-        data, low, high = _aligned(batch)
-        p, out = Prefixes(data), []
-        key = [batch.column(c).to_numpy() for c in ("id", "t", "at", "n")]
-        for b, first in enumerate(range(0, SPREAD + 1, BLOCK)):
-            last = min(first + BLOCK - 1, SPREAD)
-            lo, hi = np.maximum(low, first), np.minimum(high, last)
-            r = np.flatnonzero(lo <= hi)
-            lo, hi = lo[r], hi[r]
-            core = mixed(p.of(np.full(len(r), last), LENGTH + first - last, r), 4)
+def _opened(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last offset of each open block of a batch's contexts."""
+    found = [(k, x["low"], x["high"]) for k, blocks in enumerate(batch.column("open").to_pylist()) for x in blocks]
+    return tuple(np.array(found, np.int64).reshape(-1, 3).T)
+
+
+def _each(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which range, and the value, for each value of the ranges."""
+    n = last - first + 1
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[of]
+
+
+def _blocks(step: int):
+    """For each part of `step` offsets of the open blocks the hash of what all its windows share and of what they cover."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, (row, low, high) = Prefixes(_aligned(batch)), _opened(batch)
+            of, block = _each(low // step, high // step)
+            first, last = block * step, np.minimum(block * step + step - 1, SPREAD)
+            lo, hi, r = np.maximum(low[of], first), np.minimum(high[of], last), row[of]
+            core = mixed(p.of(last, LENGTH + first - last, r), 4)
             hull = mixed(p.of(lo, hi - lo + LENGTH, r) + mixed((lo * (SPREAD + 1) + hi).astype(np.uint64), 2), 5)
-            out.append((*(k[r] for k in key), np.full(len(r), b, np.int16), lo.astype(np.int16), hi.astype(np.int16), core, hull))
-        yield _batch(dict(zip(("id", "t", "at", "n", "block", "low", "high", "core", "hull"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+            ids, t, at = (batch.column(c).to_numpy()[r] for c in ("id", "t", "at"))
+            yield _batch({"id": ids, "t": t, "at": at, "block": block.astype(np.int16), "low": lo.astype(np.int16), "high": hi.astype(np.int16), "core": core, "hull": hull})
+
+    return hashed
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each open block the windows at its offsets, with a digest of their bytes taken once for equal windows."""
     for batch in batches:
-        data, _, _ = _aligned(batch)
-        row, at = [], []
-        for k, blocks in enumerate(batch.column("open").to_pylist()):
-            for x in blocks:
-                row += [k] * (x["high"] - x["low"] + 1)
-                at += range(x["low"], x["high"] + 1)
-        row, at = np.array(row, np.int64), np.array(at, np.int64)
+        data, (row, low, high) = _aligned(batch), _opened(batch)
+        of, at = _each(low, high)
+        row = row[of]
         order, classes = sort_windows(data, row, at)
         digests = np.zeros((int(classes[-1]) + 1 if len(classes) else 0, 2), np.int64)
         for k in np.flatnonzero(np.diff(classes, prepend=-1)):
             w = order[k]
             digests[classes[k]] = np.frombuffer(hashlib.blake2b(data[row[w], at[w] : at[w] + LENGTH].tobytes(), digest_size=16).digest(), np.int64)
         row, at, of = row[order], at[order], digests[classes]
-        ids, t, anchor, n = (batch.column(c).to_numpy()[row] for c in ("id", "t", "at", "n"))
-        yield _batch({"id": ids, "t": t, "start": anchor - SPREAD + at, "offset": at.astype(np.int16), "n": n, "d1": of[:, 0], "d2": of[:, 1]})
+        ids, t, anchor = (batch.column(c).to_numpy()[row] for c in ("id", "t", "at"))
+        yield _batch({"id": ids, "t": t, "start": anchor - SPREAD + at, "offset": at.astype(np.int16), "d1": of[:, 0], "d2": of[:, 1]})
 
 
 def _placed(rows: DataFrame, core: list[str]) -> DataFrame:
-    """rows (with n, how many texts' rows each stands for) whose core is found twice, with `same`, how often its hull is, and
-    whether it is `open`: the hull is found once, or it stands for those that some hull found once may partly equal."""
+    """rows whose core is found twice, with `same`, how often its hull is, and whether it is `open`: the hull is found once, or
+    the row stands for those with its hull, all duplicate, that a hull found once may partly equal."""
     tagged = rows.withColumn("tag", F.xxhash64("id", "t", "at"))
-    hulls = tagged.groupBy(*core, "hull").agg(F.sum("n").alias("same"), F.min("tag").alias("first"))
+    hulls = tagged.groupBy(*core, "hull").agg(F.count("*").alias("same"), F.min("tag").alias("first"))
     cores = hulls.groupBy(*core).agg(F.sum("same").alias("all"), F.min("same").alias("least")).where(F.col("all") >= 2).drop("all")
     out = tagged.join(hulls.join(cores, core), [*core, "hull"])
     return out.withColumn("open", (F.col("same") == 1) | ((F.col("least") == 1) & (F.col("tag") == F.col("first")))).drop("tag", "first", "least")
@@ -256,24 +265,29 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = documents(docs).withColumn("t", F.xxhash64("text"))
     found = rows.where(F.octet_length("text") >= LENGTH).mapInArrow(_scan, ANCHORS)
     twice = found.groupBy("core").count().where("count >= 2").select("core")
-    dup = save(found.join(twice, "core").withColumn("n", F.lit(1).cast("long")), "anchors")
+    dup = save(found.join(twice, "core"), "anchors")
     release(spark)
     placed = save(_placed(dup, ["core"]).select("id", "t", "at", "low", "high", "same", "open"), "anchors-placed")
+    discard(dup)
     start, end = F.col("at") - SPREAD + F.col("low"), F.col("at") - SPREAD + F.col("high") + LENGTH
-    spans = placed.where("same >= 2").select("id", "t", start.alias("start"), end.alias("end"))
-    opened = placed.where("open").groupBy("id", "t").agg(F.collect_set(F.struct("at", "low", "high", F.col("same").alias("n"))).alias("open"))
-    contexts = save(rows.join(opened, ["id", "t"]).select("id", "t", "text", "open").mapInArrow(_contexts, "id long, t long, at long, low short, high short, n long, bytes binary").dropDuplicates(["id", "t", "at"]), "contexts")
-    release(spark)
-    blocks = contexts.mapInArrow(_blocks, "id long, t long, at long, n long, block short, low short, high short, core long, hull long")
-    blocks = save(_placed(blocks, ["block", "core"]).select("id", "t", "at", "low", "high", "same", "open"), "blocks")
+    whole = lambda df: df.where("same >= 2").select("id", "t", start.alias("start"), end.alias("end"))
+    spans = whole(placed)
+    opened = placed.where("open").groupBy("id", "t").agg(F.collect_set(F.struct("at", "low", "high")).alias("open"))
+    contexts = save(rows.join(opened, ["id", "t"]).select("id", "t", "text", "open").mapInArrow(_contexts, "id long, t long, at long, low short, high short, bytes binary"), "contexts")
     release(spark)
-    spans = spans.union(blocks.where("same >= 2").select("id", "t", start.alias("start"), end.alias("end")))
-    opened = blocks.where("open").groupBy("id", "t", "at").agg(F.collect_list(F.struct("low", "high")).alias("open"))
-    windows = contexts.join(opened, ["id", "t", "at"]).mapInArrow(_windows, "id long, t long, start long, offset short, n long, d1 long, d2 long")
+    opened = contexts.withColumn("open", F.array(F.struct("low", "high")))
+    for step in BLOCKS:
+        blocks = opened.mapInArrow(_blocks(step), "id long, t long, at long, block short, low short, high short, core long, hull long")
+        blocks = save(_placed(blocks, ["block", "core"]).select("id", "t", "at", "low", "high", "same", "open"), "blocks")
+        release(spark)
+        spans = spans.union(whole(blocks))
+        opened = contexts.join(blocks.where("open").groupBy("id", "t", "at").agg(F.collect_set(F.struct("low", "high")).alias("open")), ["id", "t", "at"])
+    windows = opened.mapInArrow(_windows, "id long, t long, start long, offset short, d1 long, d2 long")
     windows = save(windows, "windows")
     release(spark)
-    equal = windows.groupBy("offset", "d1", "d2").agg(F.sum("n").alias("same")).where("same >= 2").select("offset", "d1", "d2")
+    equal = windows.groupBy("offset", "d1", "d2").agg(F.count("*").alias("same")).where("same >= 2").select("offset", "d1", "d2")
     spans = spans.union(windows.join(equal, ["offset", "d1", "d2"]).select("id", "t", "start", (F.col("start") + LENGTH).alias("end")))
+    discard(contexts)
     spans = save(spans.groupBy("id", "t").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
     release(spark)
     return rows.join(spans, ["id", "t"], "left").select("id", "text", "spans").mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary").select(doc_id(), "n_bytes", "n_removed", "n_spans", "kept")
