@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER = F.struct("ts", "seq")
-
 
 def _by(*keys: str):
     return Window.partitionBy(*keys).orderBy("ts", "seq")
