@@ -263,9 +263,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     rows = documents(docs).withColumn("t", F.xxhash64("text"))
-    found = rows.where(F.octet_length("text") >= LENGTH).mapInArrow(_scan, ANCHORS)
+    found = save(rows.where(F.octet_length("text") >= LENGTH).mapInArrow(_scan, ANCHORS), "found")
     twice = found.groupBy("core").count().where("count >= 2").select("core")
     dup = save(found.join(twice, "core"), "anchors")
+    discard(found)
     release(spark)
     placed = save(_placed(dup, ["core"]).select("id", "t", "at", "low", "high", "same", "open"), "anchors-placed")
     discard(dup)
@@ -277,8 +278,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     release(spark)
     opened = contexts.withColumn("open", F.array(F.struct("low", "high")))
     for step in BLOCKS:
-        blocks = opened.mapInArrow(_blocks(step), "id long, t long, at long, block short, low short, high short, core long, hull long")
-        blocks = save(_placed(blocks, ["block", "core"]).select("id", "t", "at", "low", "high", "same", "open"), "blocks")
+        parts = save(opened.mapInArrow(_blocks(step), "id long, t long, at long, block short, low short, high short, core long, hull long"), "parts")
+        blocks = save(_placed(parts, ["block", "core"]).select("id", "t", "at", "low", "high", "same", "open"), "blocks")
+        discard(parts)
         release(spark)
         spans = spans.union(whole(blocks))
         opened = contexts.join(blocks.where("open").groupBy("id", "t", "at").agg(F.collect_set(F.struct("low", "high")).alias("open")), ["id", "t", "at"])
