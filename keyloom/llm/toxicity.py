@@ -24,6 +24,8 @@ from keyloom.llm.common import doc_id, documents, prepare
 MOST_POSITIVE, MOST_UNLABELLED, MOST_CHARS = 3000, 6000, 20_000_000
 #: Features kept, and in how many toxic texts one must be.
 MOST_FEATURES, LEAST_TEXTS = 4000, 3
+#: Standard deviations by which a feature must be more frequent in toxic texts than in unlabelled ones.
+LEAST_LIFT = 2.0
 BEGINNINGS = (4, 5, 6, 7)
 WORD = re.compile(r"\w+")
 #: A score from which a text counts as toxic.
@@ -94,8 +96,10 @@ def train(positive: list[str], unlabelled: list[str], prior: float, steps: int =
     for c in counted_u:
         in_u.update(c.keys())
     n_p, n_u = len(positive), len(unlabelled)
-    lift = {n: (df[n] / n_p - in_u[n] / n_u) / np.sqrt((df[n] + in_u[n] + 1) / (n_p + n_u) / n_p) for n in known}
-    columns = {n: i for i, n in enumerate(sorted(known, key=lambda n: (-lift[n], n))[:MOST_FEATURES])}
+    share = {n: (df[n] + in_u[n] + 1) / (n_p + n_u + 2) for n in known}
+    lift = {n: (df[n] / n_p - in_u[n] / n_u) / np.sqrt(share[n] * (1 - share[n]) * (1 / n_p + 1 / n_u)) for n in known}
+    chosen = sorted((n for n in known if lift[n] >= LEAST_LIFT), key=lambda n: (-lift[n], n))
+    columns = {n: i for i, n in enumerate(chosen[:MOST_FEATURES])}
 
     def matrix(counted: list[Counter]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         cells = [(r, columns[n], k) for r, c in enumerate(counted) for n, k in c.items() if n in columns]
