@@ -47,9 +47,8 @@ SURE = 0.95
 CONTEXT = 40
 
 
-def _spans(text: Column, kind: str, pattern: str, base: bool) -> Column:
-    """The pattern's matches as structs: kind, base, start and end in code points, matched text, and the text beside it."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+def _spans(found: Column, gaps: Column, kind: str, base: bool) -> Column:
+    """A pattern's matches, which lie between gaps, as structs: kind, base, start and end in code points, text, text beside it."""
     sizes = F.transform(F.sequence(F.lit(0), F.size(found) - 1), lambda i: F.struct(F.char_length(F.get(gaps, i)).alias("gap"), F.char_length(F.get(found, i)).alias("size")))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
     placed = F.aggregate(sizes, empty, lambda acc, x: F.struct((acc["at"] + x["gap"] + x["size"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["size"]).alias("end")))).alias("out")))["out"]
@@ -58,7 +57,7 @@ def _spans(text: Column, kind: str, pattern: str, base: bool) -> Column:
         return F.struct(F.lit(KINDS.index(kind)).alias("k"), F.lit(base).alias("base"), place["start"].alias("start"), place["end"].alias("end"), F.get(found, i).alias("hit"), F.right(F.get(gaps, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(4)).alias("after"))
 
     none = F.array().cast("array<struct<k:int,base:boolean,start:int,end:int,hit:string,before:string,after:string>>")
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.transform(placed, whole)).otherwise(none)
+    return F.when(F.size(found) > 0, F.transform(placed, whole)).otherwise(none)
 
 
 def _digits(hit: Column) -> Column:
@@ -114,12 +113,12 @@ def _candidates(docs: DataFrame) -> DataFrame:
     def voted(kind: str, found: Column) -> Column:
         return F.transform(found, lambda c: F.struct(c["k"].alias("k"), (c["base"] & _valid(kind, c["hit"])).alias("base"), c["start"].alias("start"), c["end"].alias("end"), *[v.alias(n) for n, v in _votes(kind, c).items()]))
 
-    for kind in KINDS:
-        rows = rows.withColumn(f"base_{kind}", _spans(F.col("text"), kind, BASE[kind], True))
-    for kind in LOOSE:
-        rows = rows.withColumn(f"loose_{kind}", _spans(F.col("text"), kind, LOOSE[kind], False))
-    parts = [voted(k, F.col(f"base_{k}")) for k in KINDS] + [voted(k, F.col(f"loose_{k}")) for k in LOOSE]
-    return rows.select("doc_id", F.concat(*parts).alias("spans"))
+    patterns = {f"base_{k}": (k, BASE[k], True) for k in KINDS} | {f"loose_{k}": (k, LOOSE[k], False) for k in LOOSE}
+    none = F.array().cast("array<string>")
+    # Columns of their own, so that the lambdas below refer to what was found once.
+    rows = rows.withColumns({f"found_{n}": F.when(F.regexp_like("text", F.lit(p)), F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(none) for n, (_, p, _) in patterns.items()})
+    rows = rows.withColumns({f"gaps_{n}": F.when(F.size(f"found_{n}") > 0, F.split("text", p, -1)).otherwise(none) for n, (_, p, _) in patterns.items()})
+    return rows.select("doc_id", F.concat(*[voted(k, _spans(F.col(f"found_{n}"), F.col(f"gaps_{n}"), k, base)) for n, (k, _, base) in patterns.items()]).alias("spans"))
 
 
 def estimate(counts: Iterable[tuple[int, tuple[int, ...], int]], rounds: int = 50) -> dict[tuple[int, tuple[int, ...]], float]:
