@@ -34,6 +34,8 @@ LENGTH, GRAM = 400, 200
 SPREAD = LENGTH - GRAM
 #: Offsets of a block, each a multiple of the next, and start positions that are hashed at a time in a long text.
 BLOCKS, SEGMENT = (21, 3), 1 << 20
+#: Contexts whose windows are sorted at a time, about; each takes some kilobytes.
+SORTED = 4096
 #: Odd multiplier of the polynomial hash, modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 
@@ -211,9 +213,21 @@ def _blocks(step: int):
     return hashed
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of `rows` rows at least, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each open block the windows at its offsets, with a digest of their bytes taken once for equal windows."""
-    for batch in batches:
+    for batch in _gathered(batches, SORTED):
         data, (row, low, high) = _aligned(batch), _opened(batch)
         of, at = _each(low, high)
         row = row[of]
