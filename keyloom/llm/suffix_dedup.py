@@ -284,6 +284,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     release(spark)
     placed = save(_placed(dup, ["core"]).select("id", "t", "at", "low", "high", "same", "open"), "anchors-placed")
     discard(dup)
+    release(spark)
     start, end = F.col("at") - SPREAD + F.col("low"), F.col("at") - SPREAD + F.col("high") + LENGTH
     whole = lambda df: df.where("same >= 2").select("id", "t", start.alias("start"), end.alias("end"))
     spans = whole(placed)
@@ -300,10 +301,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         opened = contexts.join(blocks.where("open").groupBy("id", "t", "at").agg(F.collect_set(F.struct("low", "high")).alias("open")), ["id", "t", "at"])
     windows = opened.mapInArrow(_windows, "id long, t long, start long, offset short, d1 long, d2 long")
     windows = save(windows, "windows")
+    discard(contexts)
     release(spark)
     equal = windows.groupBy("offset", "d1", "d2").agg(F.count("*").alias("same")).where("same >= 2").select("offset", "d1", "d2")
     spans = spans.union(windows.join(equal, ["offset", "d1", "d2"]).select("id", "t", "start", (F.col("start") + LENGTH).alias("end")))
-    discard(contexts)
     spans = save(spans.groupBy("id", "t").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
     release(spark)
     return rows.join(spans, ["id", "t"], "left").select("id", "text", "spans").mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary").select(doc_id(), "n_bytes", "n_removed", "n_spans", "kept")
