@@ -4,8 +4,8 @@
 2. Orders: tokens that are frequent come last in all orders; ties are broken by another scrambling in each order. Any order
    that is the same for all sets is correct, so frequencies may be a bounded list of heavy tokens.
 3. Candidates: different sets that link share SHARED tokens of their prefixes under every order. Postings of the first order's
-   prefixes are grouped by token; each node is paired with the token's pivot (its smallest node), which is linear in the
-   postings, and pairs that share too few tokens go.
+   prefixes are grouped by token. In a few rounds each node is paired with the one pivot, among its tokens' smallest nodes, that
+   it shares the most tokens with, which is linear in the nodes.
 4. Verification: a pair must share as many prefix tokens under the other orders, and then its sets are intersected.
 5. Tokens whose nodes lie in one component after that need no more pairs. For the others all pairs of nodes from different
    components that share enough tokens are verified too, so no link between components is lost.
@@ -35,6 +35,8 @@ SHARED = 3
 TASK_HEAVY, HEAVY = 1 << 17, 1 << 20
 #: Bits of the filter before the table of heavy tokens.
 FILTER = 1 << 25
+#: Nodes from which a token of the first prefixes is ordered by frequency too, and rounds of pairs with pivots at most.
+RECOUNTED, ROUNDS = 8, 4
 #: Tokens that a task gathers before it counts them.
 COUNT_EVERY = 6_000_000
 
@@ -82,10 +84,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((zeros + 1, _signed(tokens), counts, zeros, zeros), SCAN.types, strict=True)], schema=SCAN)
 
 
-def _heavy(scanned: DataFrame) -> np.ndarray:
-    """The tokens that most sets have, the most frequent first: all above a frequency that leaves at most HEAVY."""
-    sums = scanned.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n"))
-    sums = save(sums, "heavy-tokens")
+def _heavy(sums: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of sums (token, n) the most frequent tokens and their n: all above a frequency that leaves at most HEAVY."""
     least, total = 2, 0
     for r in sums.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).collect():  # at most 10,000 rows
         total += r["count"]
@@ -93,8 +93,15 @@ def _heavy(scanned: DataFrame) -> np.ndarray:
             least = r.n + 1
             break
     table = sums.where(F.col("n") >= least).toArrow()
-    tokens, n = table.column("a").to_numpy(), table.column("n").to_numpy()
-    return tokens[np.lexsort((tokens, -n))]
+    return table.column("token").to_numpy(), table.column("n").to_numpy()
+
+
+def _ordered(*parts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The tokens of several lists, the most frequent first, at most HEAVY."""
+    tokens, n = np.concatenate([t for t, _ in parts]), np.concatenate([n for _, n in parts])
+    at = np.lexsort((tokens, -n))
+    _, first = np.unique(tokens[at], return_index=True)
+    return tokens[at][np.sort(first)][:HEAVY]
 
 
 SCAN = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
@@ -166,22 +173,32 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     rows = documents(docs)
     scanned = save(rows.mapInArrow(_scan, "kind int, a long, n long, s1 long, s2 long"), "shingle-sets")
     sets = scanned.where("kind = 0").select(F.col("a").alias("id"), "n", "s1", "s2")
-    heavy = spark.sparkContext.broadcast(_heavy(scanned))
-
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders, seen = Orders(heavy.value), set()
-        for batch in batches:
-            tokens, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for text in batch.column("text").to_pylist():
-                s = shingle_set(text)
-                if len(s) and (key := _set_key(s)[0]) not in seen:
-                    seen.add(key)
-                    tokens.append(p := orders.prefix(s, 0))
-                    nodes.append(np.full(len(p), key, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), pa.array(np.concatenate(nodes))], names=["token", "node"])
-
-    raw = save(rows.select("text").mapInArrow(postings, "token long, node long"), "prefixes")
-    shared = raw.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("token", "pivot")
+    def postings(heavy) -> DataFrame:
+        def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            orders, seen = Orders(heavy.value), set()
+            for batch in batches:
+                tokens, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for text in batch.column("text").to_pylist():
+                    s = shingle_set(text)
+                    if len(s) and (key := _set_key(s)[0]) not in seen:
+                        seen.add(key)
+                        tokens.append(p := orders.prefix(s, 0))
+                        nodes.append(np.full(len(p), key, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), pa.array(np.concatenate(nodes))], names=["token", "node"])
+
+        return save(rows.select("text").mapInArrow(prefixes, "token long, node long"), "prefixes")
+
+    # What a task sees once may be frequent over all tasks: the first prefixes tell, and are made anew.
+    reported = _heavy(save(scanned.where("kind = 1").groupBy(F.col("a").alias("token")).agg(F.sum("n").alias("n")), "heavy-tokens"))
+    heavy = spark.sparkContext.broadcast(_ordered(reported))
+    raw = postings(heavy)
+    recounted = _heavy(save(raw.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= RECOUNTED), "heavy-tokens"))
+    if len(recounted[0]):
+        discard(raw)
+        release(spark)
+        heavy = spark.sparkContext.broadcast(_ordered(reported, recounted))
+        raw = postings(heavy)
+    shared = raw.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("token")
     posted = save(raw.join(shared, "token").distinct(), "postings")
     discard(raw)
     release(spark)
@@ -192,9 +209,6 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         fits = (100 * F.col("most_x") >= PERCENT * F.col("least_y")) & (100 * F.col("most_y") >= PERCENT * F.col("least_x"))
         return pairs.join(of("x"), "x").join(of("y"), "y").where(fits).select("x", "y")
 
-    pairs = posted.where("node != pivot").groupBy(F.col("pivot").alias("x"), F.col("node").alias("y")).count().where(F.col("count") >= SHARED)
-    pairs = save(similar_in_size(pairs), "pairs")
-
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = Orders(heavy.value)
         for batch in batches:
@@ -228,20 +242,38 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         release(spark)
         return links
 
-    first = verified(pairs)
-    labels = components(first)
-    # Tokens that still join several components.
-    placed = nodes.select("node", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("label", "rep").alias("label"))
-    placed = save(posted.select("token", "node").join(placed, "node"), "placed")
-    several = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-    open_ = save(placed.join(several, "token"), "open")
+    def open_tokens(labels: DataFrame | None) -> DataFrame:
+        """(token, node, label) of the tokens that still join several components."""
+        own = nodes.select("node", "rep")
+        own = own.select("node", F.col("rep").alias("label")) if labels is None else own.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("label", "rep").alias("label"))
+        placed = save(posted.join(own, "node"), "placed")
+        several = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
+        return save(placed.join(several, "token"), "open")
+
+    links, labels, tried = spark.createDataFrame([], "a long, b long"), None, None
+    for _ in range(ROUNDS):
+        open_ = open_tokens(labels)
+        # Each node with the pivot, the node of the smallest label, that it shares the most open tokens with.
+        lowest = open_.groupBy("token").agg(F.min(F.struct("label", "node")).alias("p"))
+        near = open_.join(lowest, "token").where("label != p.label").groupBy(F.col("p.node").alias("x"), F.col("node").alias("y")).count().where(F.col("count") >= SHARED)
+        near = near if tried is None else near.join(tried, ["x", "y"], "left_anti")
+        best = similar_in_size(near).join(near, ["x", "y"]).groupBy("y").agg(F.max_by("x", F.struct("count", "x")).alias("x")).select("x", "y")
+        pairs = save(best, "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        new = verified(pairs)
+        if new.isEmpty():
+            break
+        links = links.union(new)
+        labels = components(links)
+    open_ = open_tokens(labels)
     far = open_.select("token", F.col("node").alias("x"), F.col("label").alias("lx")).join(open_.select("token", F.col("node").alias("y"), F.col("label").alias("ly")), "token").where("lx < ly")
-    far = far.select("token", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).groupBy("x", "y").count().where(F.col("count") >= SHARED).select("x", "y")
-    far = save(similar_in_size(far).join(pairs, ["x", "y"], "left_anti"), "far-pairs")
-    second = first.limit(0) if far.isEmpty() else verified(far)
-    links = first.union(second)
-    if not second.isEmpty():
+    far = similar_in_size(far.groupBy("x", "y").count().where(F.col("count") >= SHARED).select("x", "y"))
+    both = tried.union(tried.select("y", "x"))
+    far = save(far.join(both, ["x", "y"], "left_anti"), "far-pairs")
+    if not far.isEmpty():
+        links = links.union(verified(far))
         labels = components(links)
+    labels = spark.createDataFrame([], "node long, label long") if labels is None else labels
     degree = links.select(F.col("a").alias("rep")).union(links.select(F.col("b"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     classes = nodes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").select(F.col("node").alias("s1"), "s2", F.coalesce("label", "rep").alias("component"), "n_links")
     out = sets.join(classes, ["s1", "s2"], "left")
