@@ -1,6 +1,6 @@
 """Exact Jaccard self-join of word-shingle sets, by prefix filters under several global token orders.
 
-1. Sets: one scan yields each document's set size and a 128-bit hash of its set; equal sets are one node.
+1. Sets: one scan yields each document's set size and a 128-bit hash of its set; equal sets are one node, whatever their ids.
 2. Orders: tokens that are frequent come last in all orders; ties are broken by another scrambling in each order. Any order
    that is the same for all sets is correct, so frequencies may be a bounded list of heavy tokens.
 3. Candidates: different sets that link share SHARED tokens of their prefixes under every order. Postings of the first order's
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import discard, doc_id, documents, prepare, release, save
+from keyloom.llm.common import LAST_ID, discard, doc_id, documents, prepare, release, save
 from keyloom.llm.components import components
 from keyloom.llm.shingles import mixed, shingle_set
 
@@ -51,7 +51,7 @@ def _set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of kind 0 (id, size, set hash) and, at the task's end, of kind 1 (token, count) for tokens of several sets."""
+    """Rows of kind 0 (id, size, set hash, text hash) and, at the task's end, of kind 1 (token, count) for tokens of several sets."""
     seen: set[int] = set()
     held: list[np.ndarray] = []
     n_held, tokens, counts = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -68,10 +68,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         rows = []
-        for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for i, th, text in zip(*[batch.column(c).to_pylist() for c in ("id", "th", "text")], strict=True):
             s = shingle_set(text)
             a, b = _set_key(s) if len(s) else (0, 0)
-            rows.append((0, i, len(s), a, b))
+            rows.append((0, i, len(s), a, b, th))
             if len(s) and a not in seen:
                 seen.add(a)
                 held.append(s)
@@ -81,7 +81,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(rows)
     count()
     zeros = np.zeros(len(tokens), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((zeros + 1, _signed(tokens), counts, zeros, zeros), SCAN.types, strict=True)], schema=SCAN)
+    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((zeros + 1, _signed(tokens), counts, zeros, zeros, zeros), SCAN.types, strict=True)], schema=SCAN)
 
 
 def _heavy(sums: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +104,7 @@ def _ordered(*parts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return tokens[at][np.sort(first)][:HEAVY]
 
 
-SCAN = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
+SCAN = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("th", pa.int64())])
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -161,18 +161,19 @@ def linked(x: np.ndarray, y: np.ndarray, xp: np.ndarray, yp: np.ndarray) -> bool
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
-    """Return (doc_id, n_shingles, component_id, n_links) for each row of docs (doc_id, text).
+    """Return (doc_id, n_shingles, component_id, n_links, th) for each row of docs (doc_id, text); th is the text's xxhash64.
 
     n_links counts verified links of the document's set with different sets (those that join components; copies and links
-    inside a component that were not needed aren't counted). Without words a document links with nothing, not even its copies. Rows with the same doc_id
-    are nodes of their own sets but share an id; a null doc_id comes last among ids and is returned as null, and its
-    component is null if no other document is in it. An empty table gives an empty result.
+    inside a component that were not needed aren't counted). Without words a document links with nothing, not even its copies. Rows link
+    by their sets alone, so rows with the same doc_id or without one are in one component only if their texts are; a component's
+    id is the smallest doc_id in it, null if it has none. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     prepare(spark)
-    rows = documents(docs)
-    scanned = save(rows.mapInArrow(_scan, "kind int, a long, n long, s1 long, s2 long"), "shingle-sets")
-    sets = scanned.where("kind = 0").select(F.col("a").alias("id"), "n", "s1", "s2")
+    rows = documents(docs).withColumn("th", F.xxhash64("text"))
+    scanned = save(rows.mapInArrow(_scan, "kind int, a long, n long, s1 long, s2 long, th long"), "shingle-sets")
+    sets = scanned.where("kind = 0").select(F.col("a").alias("id"), "n", "s1", "s2", "th")
+
     def postings(heavy) -> DataFrame:
         def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             orders, seen = Orders(heavy.value), set()
@@ -202,7 +203,9 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     posted = save(raw.join(shared, "token").distinct(), "postings")
     discard(raw)
     release(spark)
-    nodes = save(sets.where("n > 0").groupBy(F.col("s1").alias("node"), "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "nodes")
+    # Links and components are between keys, one for each set; at is a row that has the set: ids alone may be null or repeated.
+    nodes = sets.where("n > 0").groupBy(F.col("s1").alias("node"), "s2").agg(F.min(F.struct("id", "th")).alias("at"), F.first("n").alias("n"))
+    nodes = save(nodes.select("node", "s2", "n", "at.id", "at.th", F.monotonically_increasing_id().alias("key")), "nodes")
 
     def similar_in_size(pairs: DataFrame) -> DataFrame:
         of = lambda c: nodes.groupBy(F.col("node").alias(c)).agg(F.min("n").alias(f"least_{c}"), F.max("n").alias(f"most_{c}"))
@@ -210,19 +213,22 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         return pairs.join(of("x"), "x").join(of("y"), "y").where(fits).select("x", "y")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = Orders(heavy.value)
+        orders, seen = Orders(heavy.value), set()
         for batch in batches:
             keep = []
-            for i, node, s2, text in zip(*[batch.column(c).to_pylist() for c in ("id", "node", "s2", "text")], strict=True):
+            for key, node, s2, text in zip(*[batch.column(c).to_pylist() for c in ("key", "node", "s2", "text")], strict=True):
+                if key in seen:
+                    continue  # a repeated row
                 s = shingle_set(text)
                 if len(s) and _set_key(s) == (node, s2):
-                    keep.append((i, node, s.tobytes(), b"".join(np.sort(orders.prefix(s, k)).tobytes() for k in range(1, ORDERS))))
-            yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in keep], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["rep", "node", "tokens", "prefixes"])
+                    seen.add(key)
+                    keep.append((key, node, s.tobytes(), b"".join(np.sort(orders.prefix(s, k)).tobytes() for k in range(1, ORDERS))))
+            yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in keep], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["key", "node", "tokens", "prefixes"])
 
     def members_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
-        wanted = nodes.join(wanted, "node", "left_semi").select("node", F.col("rep").alias("id"), "s2")
-        out = save(rows.join(wanted, "id").mapInArrow(members, "rep long, node long, tokens binary, prefixes binary"), "members")
+        wanted = nodes.join(wanted, "node", "left_semi").select("key", "node", "s2", "id", "th")
+        out = save(rows.join(wanted, ["id", "th"]).mapInArrow(members, "key long, node long, tokens binary, prefixes binary"), "members")
         release(spark)
         return out
 
@@ -234,8 +240,8 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
     def verified(pairs: DataFrame) -> DataFrame:
         own = members_of(pairs)
-        left = own.select(F.col("node").alias("x"), F.col("rep").alias("a"), F.col("tokens").alias("xs"), F.col("prefixes").alias("xp"))
-        right = own.select(F.col("node").alias("y"), F.col("rep").alias("b"), F.col("tokens").alias("ys"), F.col("prefixes").alias("yp"))
+        left = own.select(F.col("node").alias("x"), F.col("key").alias("a"), F.col("tokens").alias("xs"), F.col("prefixes").alias("xp"))
+        right = own.select(F.col("node").alias("y"), F.col("key").alias("b"), F.col("tokens").alias("ys"), F.col("prefixes").alias("yp"))
         links = pairs.join(left, "x").join(right, "y").where("a != b").select("a", "b", "xs", "ys", "xp", "yp").mapInArrow(verify, "a long, b long")
         links = save(links.distinct(), "links")
         discard(own)
@@ -244,8 +250,8 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
     def open_tokens(labels: DataFrame | None) -> DataFrame:
         """(token, node, label) of the tokens that still join several components."""
-        own = nodes.select("node", "rep")
-        own = own.select("node", F.col("rep").alias("label")) if labels is None else own.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("label", "rep").alias("label"))
+        own = nodes.select("node", "key")
+        own = own.select("node", F.col("key").alias("label")) if labels is None else own.join(labels.withColumnRenamed("node", "key"), "key", "left").select("node", F.coalesce("label", "key").alias("label"))
         placed = save(posted.join(own, "node"), "placed")
         several = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
         return save(placed.join(several, "token"), "open")
@@ -274,8 +280,10 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         links = links.union(verified(far))
         labels = components(links)
     labels = spark.createDataFrame([], "node long, label long") if labels is None else labels
-    degree = links.select(F.col("a").alias("rep")).union(links.select(F.col("b"))).groupBy("rep").agg(F.count("*").alias("n_links"))
-    classes = nodes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").select(F.col("node").alias("s1"), "s2", F.coalesce("label", "rep").alias("component"), "n_links")
+    degree = links.select(F.col("a").alias("key")).union(links.select(F.col("b"))).groupBy("key").agg(F.count("*").alias("n_links"))
+    classes = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left").select(F.col("node").alias("s1"), "s2", "id", F.coalesce("label", "key").alias("label"), "n_links")
+    least = nodes.join(labels.withColumnRenamed("node", "key"), "key").groupBy("label").agg(F.min("id").alias("least"))
+    classes = classes.join(least, "label", "left").select("s1", "s2", F.coalesce("least", "id").alias("component"), "n_links")
     out = sets.join(classes, ["s1", "s2"], "left")
     low = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return out.select(doc_id(), F.col("n").alias("n_shingles"), F.when(low != 2**63 - 1, low).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select(doc_id(), F.col("n").alias("n_shingles"), F.when(low != LAST_ID, low).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "th")

@@ -68,6 +68,23 @@ def test_jaccard_join(docs, rows):
     assert sorted(got) == sorted((last(i), len(s), c) for (i, _), s, c in zip(rows, sets, label))
 
 
+def near(text, k):
+    """A near copy: one word is another."""
+    w = text.split()
+    w[k] = f"other{k}"
+    return " ".join(w)
+
+
+def test_jaccard_join_of_null_and_repeated_ids(spark):
+    r = random.Random(8)
+    a, b, c = (" ".join(f"{x}{r.randint(1, 10**6)}" for _ in range(100)) for x in "abc")
+    data = [(5, a), (9, b), (None, near(a, 3)), (None, near(b, 3)), (7, c), (7, near(a, 4)), (8, near(b, 4)), (8, near(c, 4)), (None, c + " d")]
+    data += [(None, "no id here at all one"), (None, "no id here at all two"), (None, "no id here at all one")]
+    out = jaccard_join(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).select("doc_id", "component_id").collect()
+    expected = [(5, 5), (9, 8), (None, 5), (None, 8), (7, 7), (7, 5), (8, 8), (8, 7), (None, 7), (None, None), (None, None), (None, None)]
+    assert sorted((last(r.doc_id), last(r.component_id)) for r in out) == sorted((last(i), last(k)) for i, k in expected)
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(k, k + 1) for k in range(50)] + [(r.randint(100, 200), r.randint(100, 200)) for _ in range(60)] + [(300, k) for k in range(301, 340)]
