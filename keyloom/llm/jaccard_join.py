@@ -9,6 +9,8 @@
 4. Verification: a pair must share as many prefix tokens under the other orders, and then its sets are intersected.
 5. Tokens whose nodes lie in one component after that need no more pairs. For the others all pairs of nodes from different
    components that share enough tokens are verified too, so no link between components is lost.
+6. Counts: all links are within components now. Where some pair of a component's sets hasn't been verified, its sets are dealt
+   into parts, and every two parts are intersected as a whole; only counts leave a task, no pairs.
 """
 
 from __future__ import annotations
@@ -37,6 +39,10 @@ TASK_HEAVY, HEAVY = 1 << 17, 1 << 20
 FILTER = 1 << 25
 #: Nodes from which a token of the first prefixes is ordered by frequency too, and rounds of pairs with pivots at most.
 RECOUNTED, ROUNDS = 8, 4
+#: Sets and tokens of a component's part, about.
+PART_SETS, PART_TOKENS = 2048, 2_000_000
+#: Columns of a dense product of two parts; pairs of a sparse step; how many dense cells cost as much as a sparse pair.
+DENSE, SPARSE, CHEAPER = 2048, 2_000_000, 64
 #: Tokens that a task gathers before it counts them.
 COUNT_EVERY = 6_000_000
 
@@ -160,12 +166,73 @@ def linked(x: np.ndarray, y: np.ndarray, xp: np.ndarray, yp: np.ndarray) -> bool
     return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of all sets of x with all sets of y."""
+    values, at = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    rows = [np.repeat(np.arange(len(sets)), [len(s) for s in sets]) for sets in (x, y)]
+    cols = np.split(at, [len(rows[0])])
+    n = [np.bincount(c, minlength=len(values)) for c in cols]
+    often = n[0] * n[1] * CHEAPER > len(x) * len(y)
+    out = np.zeros((len(x), len(y)), np.int64)
+    # Tokens of many sets: products of 0/1 matrices, whose sums are exact in 32 bits.
+    place = np.cumsum(often) - 1
+    sides = []
+    for r, c in zip(rows, cols, strict=True):
+        mine = np.flatnonzero(often[c])
+        mine = mine[np.argsort(place[c[mine]], kind="stable")]
+        sides.append((r[mine], place[c[mine]]))
+    for start in range(0, int(often.sum()), DENSE):
+        a, b = (np.zeros((len(sets), DENSE), np.float32) for sets in (x, y))
+        for block, (r, c) in zip((a, b), sides, strict=True):
+            low, high = np.searchsorted(c, (start, start + DENSE))
+            block[r[low:high], c[low:high] - start] = 1
+        out += np.rint(a @ b.T).astype(np.int64)
+    # Other tokens: their pairs of sets, some at a time.
+    (rx, ry), (cx, cy) = rows, cols
+    mine = ~often[cx] & (n[1][cx] > 0)
+    rx, cx = rx[mine], cx[mine]
+    ry, first, times = ry[np.argsort(cy, kind="stable")], np.cumsum(n[1]) - n[1], n[1][cx]
+    ends = np.cumsum(times)
+    low = 0
+    while low < len(rx):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + SPARSE, "right")))
+        t = times[low:high]
+        within = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+        cells = np.repeat(rx[low:high] * len(y), t) + ry[np.repeat(first[cx[low:high]], t) + within]
+        out += np.bincount(cells, minlength=out.size).reshape(out.shape)
+        low = high
+    return out
+
+
+def link_table(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Whether each set of x links with each set of y."""
+    both = shared_counts(x, y)
+    total = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None]
+    return 100 * both >= PERCENT * (total - both)
+
+
+def _count_links(table: pa.Table) -> pa.Table:
+    """Of two parts of a component, or a part with itself: how many sets of the other part each set links with."""
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    parts: dict[int, dict[int, np.ndarray]] = {i: {}, j: {}}
+    for key, part, tokens in zip(*[table.column(c).to_pylist() for c in ("key", "part", "tokens")], strict=True):
+        parts[part][key] = np.frombuffer(tokens, np.uint64)  # a repeated row overwrites its like
+    x, y = parts[i], parts[j]
+    if i == j:
+        keys, n = list(x), link_table(list(x.values()), list(x.values())).sum(1) - 1  # but itself
+    elif x and y:
+        links = link_table(list(x.values()), list(y.values()))
+        keys, n = [*x, *y], np.concatenate([links.sum(1), links.sum(0)])
+    else:
+        keys, n = [], []
+    return pa.table([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n_links"])
+
+
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """Return (doc_id, n_shingles, component_id, n_links, th) for each row of docs (doc_id, text); th is the text's xxhash64.
 
-    n_links counts verified links of the document's set with different sets (those that join components; copies and links
-    inside a component that were not needed aren't counted). Without words a document links with nothing, not even its copies. Rows link
-    by their sets alone, so rows with the same doc_id or without one are in one component only if their texts are; a component's
+    n_links counts all links of the document's set with different sets (not with its copies). Without words a document links
+    with nothing, not even its copies. Rows link by their sets alone, so rows with the same doc_id or without one are in one component only if their texts are; a component's
     id is the smallest doc_id in it, null if it has none. An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -248,6 +315,40 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         release(spark)
         return links
 
+    def counted(links: DataFrame, labels: DataFrame) -> DataFrame:
+        """(key, n_links) of the sets that have links."""
+        links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").agg(F.count("*").alias("found"))
+        linked_nodes = save(nodes.join(labels.withColumnRenamed("node", "key"), "key").join(found, "key"), "linked")
+        sizes = linked_nodes.groupBy("label").agg(F.count("*").alias("k"), F.sum("n").alias("t"), F.sum("found").alias("found")).where("found < k * (k - 1)")
+        parts = F.greatest(F.ceil(F.col("k") / PART_SETS), F.ceil(F.col("t") / PART_TOKENS)).alias("parts")
+        sizes = save(sizes.select("label", parts), "open-components")
+        if sizes.isEmpty():
+            return linked_nodes.select("key", F.col("found").alias("n_links"))
+        large = F.broadcast(sizes.where("parts > 1"))  # few
+        wanted = linked_nodes.join(large, "label").unionByName(linked_nodes.join(large, "label", "left_anti").join(sizes.where("parts = 1"), "label"))
+        wanted = wanted.select("key", "node", "s2", "id", "th", "label", "parts", F.pmod(F.xxhash64("key"), "parts").alias("part"))
+
+        def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = set()
+            for batch in batches:
+                keep, tokens = [], []
+                for k, (key, node, s2, text) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("key", "node", "s2", "text")], strict=True)):
+                    if key not in seen and _set_key(s := shingle_set(text)) == (node, s2):
+                        seen.add(key)
+                        keep.append(k)
+                        tokens.append(s.tobytes())
+                kept = batch.select(["key", "label", "parts", "part"]).take(pa.array(keep, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(tokens, pa.binary())], names=["key", "label", "parts", "part", "tokens"])
+
+        own = rows.join(wanted, ["id", "th"]).mapInArrow(sets_of, "key long, label long, parts long, part long, tokens binary")
+        own = own.select("key", "label", "part", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+        own = own.select("key", "label", "part", "tokens", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+        all_links = own.groupBy("label", "i", "j").applyInArrow(_count_links, "key long, n_links long")
+        all_links = save(all_links.groupBy("key").agg(F.sum("n_links").alias("n_links")), "link-counts")
+        release(spark)
+        return linked_nodes.join(all_links, "key", "left").select("key", F.coalesce("n_links", "found").alias("n_links"))
+
     def open_tokens(labels: DataFrame | None) -> DataFrame:
         """(token, node, label) of the tokens that still join several components."""
         own = nodes.select("node", "key")
@@ -280,7 +381,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         links = links.union(verified(far))
         labels = components(links)
     labels = spark.createDataFrame([], "node long, label long") if labels is None else labels
-    degree = links.select(F.col("a").alias("key")).union(links.select(F.col("b"))).groupBy("key").agg(F.count("*").alias("n_links"))
+    degree = counted(links, labels)
     classes = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left").select(F.col("node").alias("s1"), "s2", "id", F.coalesce("label", "key").alias("label"), "n_links")
     least = nodes.join(labels.withColumnRenamed("node", "key"), "key").groupBy("label").agg(F.min("id").alias("least"))
     classes = classes.join(least, "label", "left").select("s1", "s2", F.coalesce("least", "id").alias("component"), "n_links")

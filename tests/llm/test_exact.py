@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from keyloom.llm import jaccard_join as module
 from keyloom.llm import token_files
 from keyloom.llm.components import components
 from keyloom.llm.decontamination import leaks
@@ -85,6 +86,26 @@ def test_jaccard_join_of_null_and_repeated_ids(spark):
     assert sorted((last(r.doc_id), last(r.component_id)) for r in out) == sorted((last(i), last(k)) for i, k in expected)
 
 
+def test_jaccard_join_counts_all_links(spark, monkeypatch):
+    r = random.Random(9)
+    base = [" ".join(f"{x}{r.randint(1, 10**6)}" for _ in range(120)) for x in "abc"]
+    texts = [base[0], base[0]] + [near(base[0], k) for k in range(20, 60)] + [near(near(near(base[1], 10), 50), 90), base[1], near(base[1], 30), base[2], ""]
+    texts += [" ".join(base[2].split()[k : k + 100]) for k in range(0, 20, 4)] + [near(base[0], 25)]
+    sets = [set(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in map(words, texts)]
+    links = [sum(len({*map(frozenset, (x, y))}) == 2 and 100 * len(x & y) >= 80 * len(x | y) for y in {frozenset(y) for y in sets}) for x in sets]
+    assert max(links) == 40 and len(set(links)) > 4
+    out = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for part in (2048, 7):  # in one part, and in several
+        monkeypatch.setattr(module, "PART_SETS", part)
+        assert [r.n_links for r in jaccard_join(out).orderBy("doc_id").collect()] == links
+
+
+def test_shared_counts():
+    r = np.random.default_rng(3)
+    x, y = ([np.unique(r.integers(0, most, n).astype(np.uint64)) for most, n in zip(r.integers(20, 9000, 90), r.integers(1, 300, 90))] for _ in "xy")
+    assert module.shared_counts(x, y).tolist() == [[len(np.intersect1d(a, b)) for b in y] for a in x]
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(k, k + 1) for k in range(50)] + [(r.randint(100, 200), r.randint(100, 200)) for _ in range(60)] + [(300, k) for k in range(301, 340)]
