@@ -13,13 +13,20 @@ from dataclasses import dataclass, field
 
 #: Elements by how they are laid out; fixed values from the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object audio video canvas textarea title select option head".split())
+RAW = frozenset("script style noscript template iframe svg object audio video canvas textarea title select option head annotation annotation-xml".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Formulas are text of their line; of these and svg, unlike other elements, a slash in the tag closes.
+MATH = frozenset("math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
+INLINE |= MATH
 ONE_P = frozenset("p li dt dd tr td th thead tbody tfoot".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/>]+)")
 
 
+#: Attributes of which the last is an unquoted value, which a slash belongs to.
+UNQUOTED = re.compile(r"=\s*[^\s\"'=]\S*\Z")
+
+
 @dataclass
 class Page:
     """Nodes in page order; a parent comes before its children. text is None for elements."""
@@ -43,22 +50,52 @@ class Page:
         return len(self.parent) - 1
 
 
-def _raw_end(source: str, tag: str, at: int) -> int:
-    """Where an element ends whose content isn't markup of the page."""
-    depth, end = 1, re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I)
-    if tag in ("script", "style", "textarea", "title"):
-        m = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
-        return m.end() if m else len(source)
-    for m in end.finditer(source, at):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return m.end()
-    return at if tag == "head" else len(source)
+def _slashed(attributes: str) -> bool:
+    return attributes.endswith("/") and not UNQUOTED.search(attributes)
+
+
+class Raw:
+    """Where elements end whose content isn't markup of the page; each tag's ends are looked up once a page."""
+
+    def __init__(self, source: str):
+        self.source, self.ends = source, {}
+
+    def end(self, tag: str, at: int) -> int:
+        """The end of an element whose start tag ends at `at`; `at` itself if it has no end tag."""
+        if tag in ("script", "style", "textarea", "title"):
+            m = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(self.source, at)
+            return m.end() if m else len(self.source)
+        return self._option(at) if tag == "option" else self._nested(tag).get(at, at)
+
+    def _nested(self, tag: str) -> dict[int, int]:
+        if tag not in self.ends:
+            ends, opened = self.ends.setdefault(tag, {}), []
+            for m in re.finditer(rf"<(/?){re.escape(tag)}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", self.source, re.I):
+                if not m[1]:
+                    if not (tag == "svg" and _slashed(m[2])):
+                        opened.append(m.end())
+                elif opened:
+                    ends[opened.pop()] = m.end()
+        return self.ends[tag]
+
+    def _option(self, at: int) -> int:
+        """An option holds text: it ends at its end tag, or before the next option, other block or end tag of its parent."""
+        inner: list[str] = []
+        for m in TOKEN.finditer(self.source, at):
+            tag = (m[2] or "").lower()
+            if m[1] and tag == "option":
+                return m.end()
+            if tag and tag not in VOID and (tag not in INLINE or m[1] and tag not in inner):
+                return m.start()
+            if tag in INLINE:
+                inner.remove(tag) if m[1] else inner.append(tag)
+        return at
 
 
 def parse(source: str | None) -> Page:
     """The page's blocks. Unclosed and stray tags are tolerated; a null or empty page is a root alone."""
     source, page = (source or "").replace("\0", ""), Page()
+    raw = Raw(source)
     stack: list[tuple[str, int]] = [("html", page.add(-1, "html", ""))]  # with the node that text belongs to
     run: list[str] = []
     linked = anchors = 0
@@ -103,8 +140,10 @@ def parse(source: str | None) -> Page:
             continue
         given = {(a[0] or a[4]).lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m[3])} if m[3].strip(" /") else {}
         hidden = "hidden" in given or "display:none" in given.get("style", "").replace(" ", "").lower()
+        if tag in MATH and _slashed(m[3]):
+            continue
         if tag in RAW:
-            at = _raw_end(source, tag, at)
+            at = at if tag == "svg" and _slashed(m[3]) else raw.end(tag, at)
             run.append(" ")
             continue
         if tag in VOID:

@@ -89,6 +89,19 @@ def test_blocks():
         parse(odd)
 
 
+def test_blocks_after_elements_without_end_tag():
+    def texts(source):
+        return [t for t in parse(source).text if t]
+
+    assert texts('<nav>a<svg class="i" /><svg/></nav><p>b<svg><svg x="1"/>c</svg>d</p>') == ["a", "b d"]
+    assert texts("<datalist><option value=a><option value=b>x <b>y</b></datalist><p>c</p>") == ["c"]
+    assert texts("<p>a<option>b</option>c</p><div><span><option>d</span>e</div><p>f") == ["a c", "e", "f"]
+    assert texts("<svg><p>a</p><object><object>b</object><p>c</p><select><p>d") == ["a", "c", "d"]
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mspace/><mn>2</mn><annotation>tex</annotation></math> holds</p><math/><p>e") == ["so x=2 holds", "e"]
+    assert texts("<svg href=a/>b</svg><p>c") == ["c"]
+    assert texts("<p>a" + "<svg>" * 20000 + "b") == ["a b"]
+
+
 def test_extract_text(spark):
     body = "".join(f"<p>This is sentence {k} of the article, which has quite some words in it.</p>" for k in range(5))
     page = f'<html><head><title>t</title></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/x">News</a></li></ul></nav><div class="cookie-notice">We use cookies. <button>OK</button></div><article><h1>Title here</h1>{body}</article><section class="comments"><div class="comment"><b>bob</b><p>I disagree with this</p></div></section><aside class="sidebar"><a href="/r">Related</a></aside><footer>&copy; me</footer></body></html>'
