@@ -90,7 +90,7 @@ def tile(n_item: int, n_doc: int, width: int, in_item: np.ndarray, in_doc: np.nd
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Return (doc_id, item_id, item_words, covered_words, tiles): a row per document of docs (doc_id, text) and item of benchmark
+    """Return (doc_id, item_id, item_words, covered_words, tiles, th), th being the text's xxhash64: a row per document of docs (doc_id, text) and item of benchmark
     (item_id, text) of which tiles cover at least `coverage` percent.
 
     Words are runs of non-white-space, A-Z lower-cased. Items of fewer than five words match only as a whole; items without
@@ -100,7 +100,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: int = COVERAGE, block
     """
     spark = docs.sparkSession
     prepare(spark)
-    rows, out = documents(docs), None
+    rows, out = documents(docs).withColumn("th", F.xxhash64("text")), None
     for block in _blocks(benchmark, block_words):
         sent = spark.sparkContext.broadcast(block)
 
@@ -108,7 +108,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: int = COVERAGE, block
             items = Items(sent.value)
             for batch in batches:
                 found = []
-                for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for i, th, text in zip(*[batch.column(c).to_pylist() for c in ("id", "th", "text")], strict=True):
                     h = word_hashes(words(text))
                     for k, width, in_item, in_doc in items.seeds(h):
                         n = items.lengths[k]
@@ -116,15 +116,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: int = COVERAGE, block
                             continue  # each seed covers `width` words at most
                         covered, tiles = tile(n, len(h), width, in_item, in_doc)
                         if 100 * covered >= coverage * n:
-                            found.append((i, items.ids[k], n, covered, tiles))
-                columns = list(zip(*found, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["id", "item_id", "item_words", "covered_words", "tiles"])
+                            found.append((i, items.ids[k], n, covered, tiles, th))
+                columns = list(zip(*found, strict=True)) or [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["id", "item_id", "item_words", "covered_words", "tiles", "th"])
 
-        part = rows.mapInArrow(search, "id long, item_id long, item_words long, covered_words long, tiles long")
+        part = rows.mapInArrow(search, "id long, item_id long, item_words long, covered_words long, tiles long, th long")
         out = part if out is None else out.union(part)
     if out is None:
-        out = spark.createDataFrame([], "id long, item_id long, item_words long, covered_words long, tiles long")
-    return out.select(doc_id(), F.when(F.col("item_id") != LAST_ID, F.col("item_id")).alias("item_id"), "item_words", "covered_words", "tiles")
+        out = spark.createDataFrame([], "id long, item_id long, item_words long, covered_words long, tiles long, th long")
+    return out.select(doc_id(), F.when(F.col("item_id") != LAST_ID, F.col("item_id")).alias("item_id"), "item_words", "covered_words", "tiles", "th")
 
 
 def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, list[bytes]]]]:

@@ -229,7 +229,9 @@ def _count_links(table: pa.Table) -> pa.Table:
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
-    """Return (doc_id, n_shingles, component_id, n_links, th) for each row of docs (doc_id, text); th is the text's xxhash64.
+    """Return (doc_id, n_shingles, component_id, n_links, th, component) for each row of docs (doc_id, text).
+
+    th is the text's xxhash64; component tells components apart that have no id (null for texts without words).
 
     n_links counts all links of the document's set with different sets (not with its copies). Without words a document links
     with nothing, not even its copies. Rows link by their sets alone, so rows with the same doc_id or without one are in one component only if their texts are; a component's
@@ -384,7 +386,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     degree = counted(links, labels)
     classes = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left").select(F.col("node").alias("s1"), "s2", "id", F.coalesce("label", "key").alias("label"), "n_links")
     least = nodes.join(labels.withColumnRenamed("node", "key"), "key").groupBy("label").agg(F.min("id").alias("least"))
-    classes = classes.join(least, "label", "left").select("s1", "s2", F.coalesce("least", "id").alias("component"), "n_links")
+    classes = classes.join(least, "label", "left").select("s1", "s2", "label", F.coalesce("least", "id").alias("component"), "n_links")
     out = sets.join(classes, ["s1", "s2"], "left")
     low = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return out.select(doc_id(), F.col("n").alias("n_shingles"), F.when(low != LAST_ID, low).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "th")
+    return out.select(doc_id(), F.col("n").alias("n_shingles"), F.when(low != LAST_ID, low).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "th", F.when(F.col("n") > 0, F.col("label")).alias("component"))

@@ -112,6 +112,34 @@ def test_extract_text(spark):
     assert extract_text(pages.limit(0)).count() == 0
 
 
+def test_pipeline_rejects_rows_not_ids(spark, monkeypatch):
+    import corpus_pipeline as pipeline
+
+    r = random.Random(6)
+    a, b, c, d, e = (" ".join(f"{x}{r.randint(1, 10**6)}" for _ in range(60)) for x in "abcde")
+    bad = " ".join(TOXIC * 6)
+    data = [(1, a), (None, a + " end"), (None, b), (None, b + " end"), (2, c), (2, c), (2, d), (None, d), (None, None), (None, None), (3, ""), (None, e), (4, bad), (4, e + " end"), (None, bad), (None, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+    def kept(stage):
+        return sorted(((-1 if r.doc_id is None else r.doc_id), r.text or "") for r in stage(spark, docs, "-").collect())
+
+    def less(*gone):
+        out = [((-1 if i is None else i), t or "") for i, t in data]
+        for x in gone:
+            out.remove(x)
+        return sorted(out)
+
+    tables = {"benchmark": spark.createDataFrame([(1, b)], "item_id long, text string"), "labels": None}
+    monkeypatch.setattr(pipeline, "read", lambda s, f, t: tables[t])
+    monkeypatch.setattr(pipeline, "score_toxicity", lambda docs, labels: docs.select("doc_id", "text", (docs.text == bad).cast("int").alias("predicted")))
+    assert kept(pipeline.decontamination) == less((-1, b), (-1, b + " end"))
+    assert kept(pipeline.toxicity) == less((4, bad), (-1, bad))
+    near = less((-1, a + " end"), (2, c), (-1, d), (-1, e), (-1, bad))
+    got = kept(pipeline.near_copies)
+    assert sum(t.startswith("b") for _, t in got) == 1 and [x for x in got if x[1][:1] != "b"] == [x for x in near if x[1][:1] != "b"]
+
+
 def test_pipeline_stages(spark, docs, texts):
     pytest.importorskip("public_tokenizers")
     import corpus_pipeline as pipeline
