@@ -73,4 +73,22 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_personal_data, op4_html_extraction, op5_benchmark_decontamination, op6_suffix_dedup, op7_best_fit_packing, op8_token_files, op9_ngram_jaccard_join, op10_quality_rules, pipeline)}
-ORACLE_SQL: dict[str, str] = {}
+#: The others have trained models, tokenizers, byte offsets or near copies.
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": r"""
+        with docs as (
+            select row_number() over () as r, doc_id, coalesce(doc_id, 9223372036854775807) as id, string_split(coalesce(text, ''), chr(10)) as lines from documents
+        ), split as (
+            select r, doc_id, id, unnest(lines) as line, unnest(range(len(lines))) as pos from docs
+        ), keyed as (
+            select *, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from split
+        ), owners as (
+            select key, min(id) as owner from keyed where length(key) >= 10 group by key
+        ), judged as (
+            select r, doc_id, pos, line, coalesce(owner < id, false) as gone from keyed left join owners using (key)
+        )
+        select any_value(doc_id) as doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+        from judged group by r
+    """,
+}

@@ -53,6 +53,18 @@ def test_line_dedup(docs, rows, batches):
     assert sorted(got) == sorted(expected)
 
 
+def test_line_dedup_sql(spark, rows, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from keyloom.llm import queries
+
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    expected = con.execute(queries.ORACLE_SQL["op2_line_dedup"]).fetchall()
+    got = [tuple(r) for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str) and len(got) == len(rows)
+
+
 def words(text):
     return (text or "").encode().lower().split()
 
