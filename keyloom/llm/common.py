@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import shutil
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 #: ASCII white space as the contracts name it.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Stands for a null doc_id inside the operators: such rows sort last.
+#: Stands for a null doc_id where rows are sorted or joined: such rows sort last. Results have the doc_id itself.
 LAST_ID = 2**63 - 1
 
 
@@ -26,6 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         folder = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -46,13 +49,9 @@ def save(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
 
 
 def documents(docs: DataFrame) -> DataFrame:
-    """(id, text): null ids become LAST_ID, null texts empty; other columns stay out, so their names can't clash."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-
-
-def doc_id() -> Column:
-    """The doc_id of a row that documents() made."""
-    return F.when(F.col("id") != LAST_ID, F.col("id")).alias("doc_id")
+    """(doc_id, id, text): id is LAST_ID for null doc_ids, null texts are empty; other columns stay out, so their names can't clash."""
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST_ID)).alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def ascii_lower(text: Column) -> Column:
@@ -79,6 +78,12 @@ def prepare(spark: SparkSession) -> None:
     sc._keyloom_sent = True
 
 
+def forget_tables() -> None:
+    """In a Python worker that is used again: drop the tables that the tokenizers' tasks left, which other operators don't need."""
+    if tokens := sys.modules.get("keyloom.llm.tokens"):
+        tokens.encoder.cache_clear()
+
+
 def discard(saved: DataFrame) -> None:
     """Delete a saved table that nothing reads any more."""
     path = saved.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(saved.saved_at)

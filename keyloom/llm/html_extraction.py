@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import LAST_ID, prepare
+from keyloom.llm.common import forget_tables, prepare
 from keyloom.llm.html_pages import BOILERPLATE, CONTENT, Page, made_pages, parse
 
 TAGS = "html article main section div p h1 h2 h3 h4 ul ol li table tr td blockquote pre figure nav header footer aside form button fieldset dl address".split()
@@ -151,6 +151,6 @@ def extract_text(pages: DataFrame) -> DataFrame:
             texts = main_texts(batch.column("html").to_pylist(), model.value)
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(LAST_ID)).alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     out = rows.mapInArrow(extract, "page_id long, url string, text string, n_chars long")
-    return out.select(F.when(F.col("page_id") != LAST_ID, F.col("page_id")).alias("page_id"), "url", "text", "n_chars")
+    return out

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import SPACES, ascii_lower, doc_id, documents, save
+from keyloom.llm.common import SPACES, ascii_lower, documents, save
 
 KEY = ["h1", "h2"]
 
@@ -55,11 +55,12 @@ def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 2, min_chars: i
     Rows with the same doc_id are one document; rows with a null doc_id are together one document that comes last.
     A text that loses all lines becomes empty. An empty table gives an empty result.
     """
-    rows = documents(docs).withColumn("th", F.xxhash64("text"))
+    # A row's id sorts behind all others if it is null.
+    rows = documents(docs).select("doc_id", F.struct(F.col("doc_id").isNull().alias("none"), F.col("id").alias("at")).alias("id"), "text", F.xxhash64("text").alias("th"))
     lines = rows.select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).select("id", "th", "pos", line_key(F.col("line")).alias("key"))
     lines = lines.where(F.char_length("key") >= min_chars).select("id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
-    cuts = sorted(set(rows.where(F.col("id") < 2**63 - 1).select(F.percentile_approx("id", [i / batches for i in range(1, batches)], 1000)).first()[0] or [])) if batches > 1 else []
-    batch = reduce(lambda a, b: a + b, [(F.col("id") > c).cast("int") for c in cuts], F.lit(0))
+    cuts = sorted(set(rows.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or [])) if batches > 1 else []
+    batch = reduce(lambda a, b: a + b, [(F.col("id.none") | (F.col("id.at") > c)).cast("int") for c in cuts], F.lit(0))
     lines = save(lines.withColumn("batch", batch), "lines", by=["batch"])
     runs = Runs(fanout)
     for b in range(len(cuts) + 1):
@@ -67,7 +68,7 @@ def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 2, min_chars: i
         known = runs.table()
         runs.add(firsts if known is None else firsts.join(known.select(*KEY), KEY, "left_anti"))
     drops = lines.join(runs.table(), KEY).where(F.col("owner") < F.col("id")).groupBy("id", "th").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
-    return rows.join(drops, ["id", "th"], "left").select(doc_id(), "text", F.split("text", "\n", -1).alias("lines"), F.coalesce("drop", F.array().cast("array<int>")).alias("drop")).select(
+    return rows.join(drops, ["id", "th"], "left").select("doc_id", "text", F.split("text", "\n", -1).alias("lines"), F.coalesce("drop", F.array().cast("array<int>")).alias("drop")).select(
         "doc_id", "text", F.size("lines").cast("long").alias("n_lines"), F.size("drop").cast("long").alias("n_dropped"), F.when(F.size("drop") == 0, F.col("text")).otherwise(F.array_join(_without("lines", "drop"), "\n")).alias("kept")
     )
 

@@ -1,8 +1,8 @@
 """Token ids in bit-packed files.
 
 A file holds ids in blocks of BLOCK, each id in as few bits as the vocabulary needs, most significant bit first, each block
-starting at a byte. Behind them come, as little-endian 64-bit integers, the blocks' byte offsets, the documents' ids (with
-LAST_ID for null) and the documents' id counts, and at the end the trailer: bits, blocks, documents, ids and MAGIC. So any
+starting at a byte. Behind them come, as little-endian 64-bit integers, the blocks' byte offsets, the documents' ids, whether
+each has one (0 or 1) and the documents' id counts, and at the end the trailer: bits, blocks, documents, ids and MAGIC. So any
 id is found from its block's offset without reading others, and whole blocks unpack in numpy.
 """
 
@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import doc_id, documents, new_folder, prepare
+from keyloom.llm.common import documents, new_folder, prepare
 from keyloom.llm.tokens import encoder
 
 BLOCK = 4096
@@ -48,7 +48,7 @@ class Writer:
         self.held, self.n_held, self.at = [], 0, 0
         self.offsets, self.docs, self.counts = [], [], []
 
-    def add(self, doc: int, ids: np.ndarray) -> None:
+    def add(self, doc: int | None, ids: np.ndarray) -> None:
         self.docs.append(doc)
         self.counts.append(len(ids))
         self.held.append(ids)
@@ -67,11 +67,11 @@ class Writer:
     def close(self) -> None:
         self._flush(self.n_held)
         trailer = [self.bits, len(self.offsets), len(self.docs), sum(self.counts), MAGIC]
-        self.out.write(np.array([*self.offsets, *self.docs, *self.counts, *trailer], "<i8").tobytes())
+        self.out.write(np.array([*self.offsets, *(d or 0 for d in self.docs), *(d is not None for d in self.docs), *self.counts, *trailer], "<i8").tobytes())
 
 
 class Reader:
-    """Reads one file: docs, counts, and ids(start, n) from any place."""
+    """Reads one file: docs, known (whether they are), counts, and ids(start, n) from any place."""
 
     def __init__(self, file, size: int):
         file.seek(size - 40)
@@ -79,10 +79,10 @@ class Reader:
         self.bits, blocks, docs, self.n, magic = np.frombuffer(file.read(40), "<i8").tolist()
         if magic != MAGIC:
             raise ValueError("not a file of packed ids")
-        table = size - 40 - 8 * (blocks + 2 * docs)
+        table = size - 40 - 8 * (blocks + 3 * docs)
         file.seek(table)
-        whole = np.frombuffer(file.read(8 * (blocks + 2 * docs)), "<i8")
-        self.offsets, self.docs, self.counts = np.append(whole[:blocks], table), whole[blocks : blocks + docs], whole[blocks + docs :]
+        whole = np.frombuffer(file.read(8 * (blocks + 3 * docs)), "<i8")
+        self.offsets, self.docs, self.known, self.counts = np.append(whole[:blocks], table), *whole[blocks:].reshape(3, docs)
 
     def ids(self, start: int, n: int) -> np.ndarray:
         if n == 0:
@@ -99,17 +99,13 @@ class Reader:
         return ids[start - first * BLOCK :][:n]
 
 
-def _place(folder: str, shard: int) -> str:
-    return f"{folder.rstrip('/')}/shard-{shard:06d}.ids"
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end: int = END) -> list[tuple[str, int, int]]:
+    """Write docs (doc_id, text) in ascending doc_id order, a file per range of ids; return (name, documents, ids) of each file in order.
 
-
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end: int = END) -> list[tuple[int, int]]:
-    """Write docs (doc_id, text) in ascending doc_id order, a file per range of ids; return (documents, ids) of each file.
-
-    A null text is an empty one and has only the end id; a null doc_id comes last. Equal doc_ids are in one file, ordered by
-    a hash of their texts. A task writes to a name of its own and renames, so a repeated task leaves one whole file.
+    A null text is an empty one and has only the end id; a null doc_id comes last. Equal doc_ids are ordered by a hash of
+    their texts, and may go on in the next file. A task that runs again writes a file of its own; only the names returned count.
     """
-    rows = documents(docs)
+    rows = documents(docs).withColumn("th", F.xxhash64("text"))
     prepare(docs.sparkSession)
     shards = max(1, rows.rdd.getNumPartitions())
 
@@ -117,32 +113,30 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end: int = E
         shard, codec = TaskContext.get().partitionId(), encoder(tokenizer)
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path)
-        own = f"{path}/tmp-{uuid.uuid4().hex}"
-        with store.open_output_stream(own) as out:
+        name = f"shard-{shard:06d}-{uuid.uuid4().hex}.ids"
+        with store.open_output_stream(f"{path.rstrip('/')}/{name}") as out:
             writer = Writer(out, max(1, int(codec.size - 1).bit_length()))
             for batch in batches:
-                for doc, ids in zip(batch.column("id").to_pylist(), codec.encode(batch.column("text").to_pylist()), strict=True):
+                for doc, ids in zip(batch.column("doc_id").to_pylist(), codec.encode(batch.column("text").to_pylist()), strict=True):
                     writer.add(doc, np.append(ids, np.uint32(end)))
             writer.close()
-        store.move(own, _place(path, shard))
-        yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (shard, len(writer.docs), sum(writer.counts))], names=["shard", "docs", "ids"])
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "name": [name], "docs": pa.array([len(writer.docs)], pa.int64()), "ids": pa.array([sum(writer.counts)], pa.int64())})
 
-    ordered = rows.repartitionByRange(shards, "id").sortWithinPartitions("id", F.xxhash64("text"))
-    written = ordered.mapInArrow(write, "shard long, docs long, ids long").collect()  # a row per file
-    return [(r.docs, r.ids) for r in sorted(written, key=lambda r: r.shard)]
+    order = [F.col("doc_id").isNull(), "id", "th"]
+    written = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(write, "shard long, name string, docs long, ids long").collect()  # a row per file
+    return [(r.name, r.docs, r.ids) for r in sorted(written, key=lambda r: r.shard)]
 
 
-def read_token_files(spark, folder: str, files: list[tuple[int, int]]) -> DataFrame:
+def read_token_files(spark, folder: str, files: list[tuple[str, int, int]]) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document in the files, start counting over all files in order."""
     prepare(spark)
-    bases = np.concatenate([[0], np.cumsum([n for _, n in files])]).astype(np.int64)
+    bases = np.concatenate([[0], np.cumsum([n for _, _, n in files])]).astype(np.int64)
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for shard in batch.column("id").to_pylist():
-                place = _place(path, shard)
-                with store.open_input_file(place) as file:
+                with store.open_input_file(f"{path.rstrip('/')}/{files[shard][0]}") as file:
                     reader = Reader(file, file.size())
                     ends = np.cumsum(reader.counts)
                     for k in range(0, len(ends), 256):
@@ -150,10 +144,10 @@ def read_token_files(spark, folder: str, files: list[tuple[int, int]]) -> DataFr
                         ids = reader.ids(first, int(counts.sum())).astype("<u4")
                         at = ends[k : k + 256] - counts - first
                         crcs = [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(at.tolist(), counts.tolist(), strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array(reader.docs[k : k + 256]), pa.array(at + first + bases[shard]), pa.array(counts), pa.array(crcs, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
+                        yield pa.RecordBatch.from_arrays([pa.array(reader.docs[k : k + 256], mask=reader.known[k : k + 256] == 0), pa.array(at + first + bases[shard]), pa.array(counts), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     shards = spark.range(0, len(files), 1, max(1, len(files)))
-    return shards.mapInArrow(load, "id long, start long, n_tokens long, ids_crc32 long").select(doc_id(), "start", "n_tokens", "ids_crc32")
+    return shards.mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_table(docs: DataFrame, tokenizer: str) -> DataFrame:
