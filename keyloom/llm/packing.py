@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import doc_id, documents, prepare, save
+from keyloom.llm.common import documents, prepare, save
 from keyloom.llm.tokens import encoder
 
 #: Tokens of a sequence; the id that ends a document.
 CAPACITY, END = 4096, 1
 #: Pieces of a length that are ranked in one task, about.
-RANKED = 20_000
+RANKED = 2_000
 
 
 class _Stock:
@@ -117,24 +117,24 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: tuple[list, ...] = ([], [], [], [], [])
-            for i, ids in zip(batch.column("id").to_pylist(), encoder(tokenizer).encode(batch.column("text").to_pylist()), strict=True):
+            for i, ids in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer).encode(batch.column("text").to_pylist()), strict=True):
                 ids = np.append(ids, np.uint32(end)).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     for c, v in zip(columns, (i, k, at, len(part), zlib.crc32(part.tobytes())), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    cut = save(documents(docs).mapInArrow(pieces, "id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    cut = save(documents(docs).select("doc_id", "text").mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in cut.groupBy("length").count().collect():  # at most `capacity` rows
         counts[length] = n
     slots = spark.sparkContext.broadcast(np.array(sorted(places(plan(counts, capacity))), np.int64).reshape(-1, 6))
-    salts = max(1, int(counts.max()) // RANKED)
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(salts)))
+    salts = spark.createDataFrame([(length, -(-int(n) // RANKED)) for length, n in enumerate(counts) if n], "length long, salts long")
+    salted = cut.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts")).drop("salts")
     window = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     before = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(window), F.lit(0)).alias("before"))
-    ranked = salted.withColumn("own", F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")) - 1)
+    ranked = salted.withColumn("own", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
     ranked = ranked.join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("own"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,8 +144,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
             length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
             slot = table[np.searchsorted(keys, length << 44 | rank, "right") - 1] if len(rank) else table[:0]
             nth, uses = rank - slot[:, 1], slot[:, 4]
-            columns = [batch.column(c) for c in ("id", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(slot[:, 3] + nth // uses), pa.array(slot[:, 5] + nth % uses * length)], names=["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            columns = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(slot[:, 3] + nth // uses), pa.array(slot[:, 5] + nth % uses * length)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    placed = ranked.mapInArrow(place, "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return placed.select(doc_id(), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
