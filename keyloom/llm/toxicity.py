@@ -9,15 +9,16 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import doc_id, documents, prepare
+from keyloom.llm.common import documents, forget_tables, prepare
 
 #: Bounds of the training sample: confirmed toxic texts, unlabelled texts, and characters of either kind. The rows with the
 #: smallest hashes of doc_id are taken.
@@ -71,42 +72,65 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _features(texts: list[str], known: dict[str, int] | None = None) -> list[Counter]:
-    out = []
+def _counted(text: str) -> Iterator[tuple[str, int]]:
+    """The features of a text and how often they come, but for those of several words in several parts."""
+    for word, n in Counter(WORD.findall(text.lower())).items():
+        for name in names(word):
+            yield name, n
+
+
+def _frequent(texts: list[str], least: int) -> set[int]:
+    """The hashes of the features that are in `least` texts at least."""
+    hashed = [np.unique(np.fromiter((xxhash.xxh3_64_intdigest(name) for name, _ in _counted(t)), np.uint64)) for t in texts]
+    values, n = np.unique(np.concatenate(hashed), return_counts=True)
+    return set(values[n >= least].tolist())
+
+
+def _rows(texts: Iterable[str], number: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each text the numbers of the features that have one, and their counts."""
     for text in texts:
         c: Counter = Counter()
-        for word, n in Counter(WORD.findall(text.lower())).items():
-            for name in names(word):
-                if known is None or name in known:
-                    c[name] += n
-        out.append(c)
-    return out
+        for name, n in _counted(text):
+            if name in number:
+                c[number[name]] += n
+        yield np.fromiter(c.keys(), np.int32, len(c)), np.minimum(np.fromiter(c.values(), np.int64, len(c)), 8).astype(np.uint8)
 
 
-def train(positive: list[str], unlabelled: list[str], prior: float, steps: int = 400, rate: float = 0.05, l2: float = 2e-4) -> Model:
-    """Fit the classifier; with no positive text or no prior, a model that scores everything near 0."""
-    if not positive or not unlabelled or prior <= 0:
+def train(positive: list[str], unlabelled: Iterable[str], prior: float, steps: int = 400, rate: float = 0.05, l2: float = 2e-4) -> Model:
+    """Fit the classifier; with no positive text or no prior, a model that scores everything near 0.
+
+    A word is a feature, and its beginnings are. Kept are the MOST_FEATURES features, at most, that are in LEAST_TEXTS toxic
+    texts at least and there more frequent than in unlabelled ones by LEAST_LIFT standard deviations or more; a count above 8
+    is taken as 8. Texts of both kinds are held as arrays of numbers, unlabelled ones are read once.
+    """
+    if not positive or prior <= 0:
         return Model({}, np.zeros(0), -6.0)
-    df: Counter = Counter()
-    for c in _features(positive):
-        df.update(c.keys())
-    known = dict.fromkeys(n for n, k in df.items() if k >= min(LEAST_TEXTS, len(positive)))
-    in_u: Counter = Counter()
-    counted_u = _features(unlabelled, known)
-    for c in counted_u:
-        in_u.update(c.keys())
-    n_p, n_u = len(positive), len(unlabelled)
-    share = {n: (df[n] + in_u[n] + 1) / (n_p + n_u + 2) for n in known}
-    lift = {n: (df[n] / n_p - in_u[n] / n_u) / np.sqrt(share[n] * (1 - share[n]) * (1 / n_p + 1 / n_u)) for n in known}
-    chosen = sorted((n for n in known if lift[n] >= LEAST_LIFT), key=lambda n: (-lift[n], n))
+    frequent, number = _frequent(positive, min(LEAST_TEXTS, len(positive))), {}
+    for text in positive:
+        for name, _ in _counted(text):
+            if name not in number and xxhash.xxh3_64_intdigest(name) in frequent:
+                number[name] = len(number)
+    of_p, of_u = list(_rows(positive, number)), list(_rows(unlabelled, number))
+    n_p, n_u = len(of_p), len(of_u)
+    if not n_u:
+        return Model({}, np.zeros(0), -6.0)
+    in_p, in_u = (np.bincount(np.concatenate([np.zeros(0, np.int32), *(i for i, _ in rows)]), minlength=len(number)) for rows in (of_p, of_u))
+    share = (in_p + in_u + 1) / (n_p + n_u + 2)
+    lift = (in_p / n_p - in_u / n_u) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
+    chosen = sorted((n for n, i in number.items() if lift[i] >= LEAST_LIFT), key=lambda n: (-lift[number[n]], n))
     columns = {n: i for i, n in enumerate(chosen[:MOST_FEATURES])}
 
-    def matrix(counted: list[Counter]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        cells = [(r, columns[n], k) for r, c in enumerate(counted) for n, k in c.items() if n in columns]
-        r, c, k = (np.array(v) for v in zip(*cells, strict=True)) if cells else (np.zeros(0, int),) * 3
-        return r, c, np.log1p(np.minimum(k, 8)), len(counted)
+    place = np.full(len(number), -1, np.int64)
+    place[[number[n] for n in columns]] = np.arange(len(columns))
+
+    def matrix(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        r = np.repeat(np.arange(len(rows), dtype=np.int32), [len(i) for i, _ in rows])
+        c, k = place[np.concatenate([i for i, _ in rows])], np.concatenate([k for _, k in rows])
+        known = c >= 0
+        return r[known], c[known], np.log1p(k[known].astype(np.float64)), len(rows)
 
-    p, u = matrix(_features(positive, columns)), matrix(counted_u)
+    p, u = matrix(of_p), matrix(of_u)
+    del of_p, of_u, number, frequent
     w, moment, square = np.zeros(len(columns) + 1), np.zeros(len(columns) + 1), np.zeros(len(columns) + 1)
     w[-1] = np.log(prior / (1 - prior)) if prior < 1 else 6.0
 
@@ -137,18 +161,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     first = lambda ids, most: ids.orderBy(F.xxhash64("id"), "id").limit(most)
     positive = first(marks.where("toxic = 1").select("id").distinct(), MOST_POSITIVE)
     unlabelled = first(rows.select("id"), MOST_UNLABELLED)
-    return Model({}, np.zeros(0), -6.0) if not toxic else train(_texts(rows, positive), _texts(rows, unlabelled), prior)
+    return Model({}, np.zeros(0), -6.0) if not toxic else train(list(_texts(rows, positive)), _texts(rows, unlabelled), prior)
 
 
-def _texts(rows: DataFrame, ids: DataFrame) -> list[str]:
+def _texts(rows: DataFrame, ids: DataFrame) -> Iterator[str]:
     """The texts of these few thousand rows, up to MOST_CHARS characters of whole texts."""
-    out, held = [], 0
+    held = 0
     for r in rows.join(F.broadcast(ids.distinct()), "id").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).toLocalIterator():
+        if held and held + len(r.text) > MOST_CHARS:
+            return
         held += len(r.text)
-        if out and held > MOST_CHARS:
-            break
-        out.append(r.text)
-    return out
+        yield r.text
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -163,10 +186,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     model = spark.sparkContext.broadcast(fit(docs, labels))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
         hits = model.value.hits()
         for batch in batches:
             scores = [model.value.score(t, hits) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(scores, pa.float64())], names=["id", "text", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(scores, pa.float64())], names=["doc_id", "text", "score"])
 
-    scored = documents(docs).mapInArrow(score, "id long, text string, score double")
-    return scored.select(doc_id(), "text", "score").select("doc_id", "text", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = documents(docs).select("doc_id", "text").mapInArrow(score, "doc_id long, text string, score double")
+    return scored.select("doc_id", "text", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
