@@ -1,8 +1,8 @@
 """Removal of byte strings of LENGTH that start more than once, by sparse, hash-compared suffix sorting.
 
 Prefix polynomial hashes give the hash of any substring in constant time. Every window of LENGTH bytes selects its smallest
-GRAM-byte hash as an anchor, so equal windows hold equal anchors at equal offsets, and only anchors are shuffled, about one
-in a hundred positions. With an anchor goes the hash of its context, the union of all windows around it. Then
+GRAM-byte hash as its anchor, so equal windows hold equal anchors at equal offsets, and only anchors are shuffled, about one
+in a hundred positions. With an anchor goes the hash of its context, the union of the windows that select it. Then
 
 1. anchors whose gram is found once have no window of interest;
 2. contexts found twice are duplicate as a whole: all their windows are;
@@ -13,7 +13,9 @@ in a hundred positions. With an anchor goes the hash of its context, the union o
    binary search for their common extension over the prefix hashes; neighbours that agree over LENGTH bytes are compared byte
    by byte, and classes of equal windows are counted over all batches by a digest of their bytes.
 
-All counts are aggregated partially and no group of equal strings is gathered anywhere, so any number of copies is even work.
+All counts are aggregated partially and no group of equal strings is gathered anywhere. What a step knows of a gram or block
+meets its contexts in a join by the gram; the few grams with a thousandth of all contexts or more are sent to all tasks
+instead, so a passage that many texts share is even work too.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import discard, doc_id, documents, prepare, release, save
+from keyloom.llm.common import discard, documents, forget_tables, prepare, release, save
 from keyloom.llm.shingles import mixed
 
 LENGTH, GRAM = 400, 200
@@ -36,6 +38,10 @@ SPREAD = LENGTH - GRAM
 BLOCKS, SEGMENT = (21, 3), 1 << 20
 #: Contexts whose windows are sorted at a time, about; each takes some kilobytes.
 SORTED = 4096
+#: A gram or block with more than one HOTth of all contexts doesn't meet them in one task.
+HOT = 1000
+#: Bytes by which windows are told apart before they are merged.
+LEADING = 8
 #: Odd multiplier of the polynomial hash, modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 
@@ -70,29 +76,32 @@ def _sliding(x: np.ndarray, width: int, best: np.ufunc, fill: int) -> np.ndarray
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Positions of a text's anchors, first and last offset of their windows within the text, hash of gram and of context.
-
-    The window at offset o of the anchor at a starts at a - SPREAD + o, for o from 0 to SPREAD.
-    """
+    """Of each run of a text's windows that select the same anchor: where its context starts, first and last offset of its
+    windows (the window at offset o starts SPREAD - o before the anchor), hash of the anchor's gram and of the context."""
     n, parts = len(data), []
     for s in range(0, n - LENGTH + 1, SEGMENT):
         windows = min(SEGMENT, n - LENGTH + 1 - s)
-        first = max(0, s - SPREAD)
-        own = Prefixes(data[first : s + windows + LENGTH + SPREAD])
-        grams = mixed(own.of(np.arange(s - first, s - first + windows + SPREAD), GRAM), 1)
+        own = Prefixes(data[s : s + windows + LENGTH])
+        grams = mixed(own.of(np.arange(windows + SPREAD), GRAM), 1)
         least = _sliding(grams, SPREAD + 1, np.minimum, 2**64 - 1)
         edge = np.zeros(SPREAD, np.uint64)
         chosen = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), SPREAD + 1, np.maximum, 0) == grams)
-        at = chosen + s
-        low, high = np.maximum(0, SPREAD - at), np.minimum(SPREAD, n - LENGTH - (at - SPREAD))
-        start = at - SPREAD + low
-        context = own.of(start - first, high - low + LENGTH)
-        parts.append((at, low, high, grams[chosen], mixed(context + mixed((low * (SPREAD + 1) + high).astype(np.uint64), 2), 3)))
+        # Each window selects the first of its smallest grams.
+        k = np.searchsorted(chosen, np.arange(windows))
+        wrong = np.flatnonzero(grams[chosen[k]] != least)
+        while len(wrong):
+            k[wrong] += 1
+            wrong = wrong[grams[chosen[k[wrong]]] != least[wrong]]
+        selected = chosen[k]
+        first = np.flatnonzero(np.diff(selected, prepend=-1))
+        last = np.append(first[1:], windows) - 1
+        at = selected[first]
+        low, high = first - at + SPREAD, last - at + SPREAD
+        context = own.of(first, high - low + LENGTH)
+        parts.append((first + s, low, high, grams[at], mixed(context + mixed((low * (SPREAD + 1) + high).astype(np.uint64), 2), 3)))
     if not parts:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    out = [np.concatenate(c) for c in zip(*parts, strict=True)]
-    _, once = np.unique(out[0], return_index=True)
-    return tuple(c[once] for c in out)
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
 def _extension(p: Prefixes, row: np.ndarray, at: np.ndarray, row2: np.ndarray, at2: np.ndarray) -> np.ndarray:
@@ -106,9 +115,29 @@ def _extension(p: Prefixes, row: np.ndarray, at: np.ndarray, row2: np.ndarray, a
 
 
 def sort_windows(data: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mergesort of the windows data[row, at : at + LENGTH]; return their order and, for each in that order, its class of equal
-    windows. Runs are merged by ranking each element in its sister run; a comparison costs a binary search for the common
-    extension. Neighbours with a full extension are compared byte by byte before they share a class."""
+    """The order of the windows data[row, at : at + LENGTH] and, for each in that order, its class of equal windows.
+
+    Windows are told apart by their leading bytes; those that share them with others are sorted by merging."""
+    leading = np.ascontiguousarray(data[row[:, None], at[:, None] + np.arange(LEADING)]).view(">u8").ravel().astype(np.uint64)
+    order = np.argsort(leading, kind="stable")
+    same = np.diff(leading[order]) == 0
+    tied = np.zeros(len(order), bool)
+    tied[1:] |= same
+    tied[:-1] |= same
+    own = np.flatnonzero(tied)
+    among = order[own]
+    merged, classes = _merge_sorted(data, row[among], at[among])
+    order[own] = among[merged]
+    new = np.ones(len(order), bool)
+    new[own[1:]] = np.diff(classes) > 0
+    return order, np.cumsum(new) - 1
+
+
+def _merge_sorted(data: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mergesort of windows; return their order and, for each in that order, its class of equal windows.
+
+    Runs are merged by ranking each element in its sister run; a comparison costs a binary search for the common extension.
+    Neighbours with a full extension are compared byte by byte before they share a class."""
     n = len(at)
     p, order = Prefixes(data), np.arange(len(at))
 
@@ -154,6 +183,7 @@ def _batch(columns: dict[str, np.ndarray | list]) -> pa.RecordBatch:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_tables()
     for batch in batches:
         columns = []
         for i, t, text in zip(*(batch.column(c).to_pylist() for c in ("id", "t", "text")), strict=True):
@@ -162,16 +192,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(dict(zip(("id", "t", "at", "low", "high", "core", "hull"), map(np.concatenate, zip(*columns, strict=True)), strict=True)))
 
 
+#: at is where a context starts; it stands for the context.
 ANCHORS = "id long, t long, at long, low short, high short, core long, hull long"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of open anchors' contexts; a row has a text and its open anchors."""
+    """The bytes of open contexts; a row has a text and its open contexts."""
     for batch in batches:
         rows = []
         for i, t, text, found in zip(*(batch.column(c).to_pylist() for c in ("id", "t", "text", "open")), strict=True):
             data = text.encode()
-            rows += [(i, t, x["at"], x["low"], x["high"], data[x["at"] - SPREAD + x["low"] : x["at"] - SPREAD + x["high"] + LENGTH]) for x in found]
+            rows += [(i, t, x["at"], x["low"], x["high"], data[x["at"] : x["at"] - x["low"] + x["high"] + LENGTH]) for x in found]
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.binary()))], names=["id", "t", "at", "low", "high", "bytes"])
 
 
@@ -207,8 +238,8 @@ def _blocks(step: int):
             lo, hi, r = np.maximum(low[of], first), np.minimum(high[of], last), row[of]
             core = mixed(p.of(last, LENGTH + first - last, r), 4)
             hull = mixed(p.of(lo, hi - lo + LENGTH, r) + mixed((lo * (SPREAD + 1) + hi).astype(np.uint64), 2), 5)
-            ids, t, at = (batch.column(c).to_numpy()[r] for c in ("id", "t", "at"))
-            yield _batch({"id": ids, "t": t, "at": at, "block": block.astype(np.int16), "low": lo.astype(np.int16), "high": hi.astype(np.int16), "core": core, "hull": hull})
+            ids, t, at, shift = (batch.column(c).to_numpy()[r] for c in ("id", "t", "at", "low"))
+            yield _batch({"id": ids, "t": t, "at": at, "start": at + lo - shift, "block": block.astype(np.int16), "low": lo.astype(np.int16), "high": hi.astype(np.int16), "core": core, "hull": hull})
 
     return hashed
 
@@ -237,24 +268,33 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = order[k]
             digests[classes[k]] = np.frombuffer(hashlib.blake2b(data[row[w], at[w] : at[w] + LENGTH].tobytes(), digest_size=16).digest(), np.int64)
         row, at, of = row[order], at[order], digests[classes]
-        ids, t, anchor = (batch.column(c).to_numpy()[row] for c in ("id", "t", "at"))
-        yield _batch({"id": ids, "t": t, "start": anchor - SPREAD + at, "offset": at.astype(np.int16), "d1": of[:, 0], "d2": of[:, 1]})
+        ids, t, context, shift = (batch.column(c).to_numpy()[row] for c in ("id", "t", "at", "low"))
+        yield _batch({"id": ids, "t": t, "start": context - shift + at, "offset": at.astype(np.int16), "d1": of[:, 0], "d2": of[:, 1]})
 
 
-def _placed(rows: DataFrame, core: list[str]) -> DataFrame:
-    """rows whose core is found twice, with `same`, how often its hull is, and whether it is `open`: the hull is found once, or
-    the row stands for those with its hull, all duplicate, that a hull found once may partly equal."""
+def _placed(rows: DataFrame, core: list[str], columns: list[str]) -> DataFrame:
+    """The columns of the rows whose core is found twice, with `same`, how often the hull is, and whether the row is `open`: its
+    hull is found once, or it stands for those with its hull, all duplicate, that a hull found once may partly equal."""
     tagged = rows.withColumn("tag", F.xxhash64("id", "t", "at"))
-    hulls = tagged.groupBy(*core, "hull").agg(F.count("*").alias("same"), F.min("tag").alias("first"))
-    cores = hulls.groupBy(*core).agg(F.sum("same").alias("all"), F.min("same").alias("least")).where(F.col("all") >= 2).drop("all")
-    out = tagged.join(hulls.join(cores, core), [*core, "hull"])
-    return out.withColumn("open", (F.col("same") == 1) | ((F.col("least") == 1) & (F.col("tag") == F.col("first")))).drop("tag", "first", "least")
+    hulls = save(tagged.groupBy(*core, "hull").agg(F.count("*").alias("same"), F.min("tag").alias("first")), "hulls")
+    cores = hulls.groupBy(*core).agg(F.sum("same").alias("all"), F.min("same").alias("least"), F.count("*").alias("hulls")).where(F.col("all") >= 2).drop("all")
+    cores = save(cores, "cores")
+    often = hulls.count() / HOT
+    hot, others = F.broadcast(cores.where(F.col("hulls") > often).drop("hulls")), cores.where(F.col("hulls") <= often).drop("hulls")  # less than HOT rows
+    known = hulls.join(hot, core).unionByName(hulls.join(hot, core, "left_anti").join(others, core))
+    out = tagged.join(known, [*core, "hull"])
+    out = out.withColumn("open", (F.col("same") == 1) | ((F.col("least") == 1) & (F.col("tag") == F.col("first")))).select(*columns, "same", "open")
+    out = save(out, "placed")
+    discard(hulls)
+    discard(cores)
+    release(rows.sparkSession)
+    return out
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for i, text, spans in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "spans")), strict=True):
+        for i, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
             data, runs = text.encode(), []
             for x in sorted(spans or [], key=lambda x: x["start"]):
                 if runs and x["start"] <= runs[-1][1]:
@@ -264,7 +304,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = [0, *(p for run in runs for p in run), len(data)]
             kept = b"".join(data[a:b] for a, b in zip(at[::2], at[1::2], strict=True))
             rows.append((i, len(data), len(data) - len(kept), len(runs), kept))
-        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -277,27 +317,26 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     rows = documents(docs).withColumn("t", F.xxhash64("text"))
-    found = save(rows.where(F.octet_length("text") >= LENGTH).mapInArrow(_scan, ANCHORS), "found")
-    twice = found.groupBy("core").count().where("count >= 2").select("core")
+    found = save(rows.where(F.octet_length("text") >= LENGTH).select("id", "t", "text").mapInArrow(_scan, ANCHORS), "found")
+    # Saved, so that the join's partitions can be split where many rows have one gram.
+    twice = save(found.groupBy("core").count().where("count >= 2").select("core"), "twice")
     dup = save(found.join(twice, "core"), "anchors")
     discard(found)
+    discard(twice)
     release(spark)
-    placed = save(_placed(dup, ["core"]).select("id", "t", "at", "low", "high", "same", "open"), "anchors-placed")
+    placed = _placed(dup, ["core"], ["id", "t", "at", "low", "high"])
     discard(dup)
-    release(spark)
-    start, end = F.col("at") - SPREAD + F.col("low"), F.col("at") - SPREAD + F.col("high") + LENGTH
-    whole = lambda df: df.where("same >= 2").select("id", "t", start.alias("start"), end.alias("end"))
-    spans = whole(placed)
+    whole = lambda df, start: df.where("same >= 2").select("id", "t", F.col(start).alias("start"), (F.col(start) - F.col("low") + F.col("high") + LENGTH).alias("end"))
+    spans = whole(placed, "at")
     opened = placed.where("open").groupBy("id", "t").agg(F.collect_set(F.struct("at", "low", "high")).alias("open"))
     contexts = save(rows.join(opened, ["id", "t"]).select("id", "t", "text", "open").mapInArrow(_contexts, "id long, t long, at long, low short, high short, bytes binary"), "contexts")
     release(spark)
     opened = contexts.withColumn("open", F.array(F.struct("low", "high")))
     for step in BLOCKS:
-        parts = save(opened.mapInArrow(_blocks(step), "id long, t long, at long, block short, low short, high short, core long, hull long"), "parts")
-        blocks = save(_placed(parts, ["block", "core"]).select("id", "t", "at", "low", "high", "same", "open"), "blocks")
+        parts = save(opened.mapInArrow(_blocks(step), "id long, t long, at long, start long, block short, low short, high short, core long, hull long"), "parts")
+        blocks = _placed(parts, ["block", "core"], ["id", "t", "at", "start", "low", "high"])
         discard(parts)
-        release(spark)
-        spans = spans.union(whole(blocks))
+        spans = spans.union(whole(blocks, "start"))
         opened = contexts.join(blocks.where("open").groupBy("id", "t", "at").agg(F.collect_set(F.struct("low", "high")).alias("open")), ["id", "t", "at"])
     windows = opened.mapInArrow(_windows, "id long, t long, start long, offset short, d1 long, d2 long")
     windows = save(windows, "windows")
@@ -307,4 +346,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spans = spans.union(windows.join(equal, ["offset", "d1", "d2"]).select("id", "t", "start", (F.col("start") + LENGTH).alias("end")))
     spans = save(spans.groupBy("id", "t").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
     release(spark)
-    return rows.join(spans, ["id", "t"], "left").select("id", "text", "spans").mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary").select(doc_id(), "n_bytes", "n_removed", "n_spans", "kept")
+    return rows.join(spans, ["id", "t"], "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
