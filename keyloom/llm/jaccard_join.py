@@ -1,15 +1,18 @@
 """Exact Jaccard self-join of word-shingle sets, by prefix filters under several global token orders.
 
 1. Sets: one scan yields each document's set size and a 128-bit hash of its set; equal sets are one node, whatever their ids.
-2. Orders: tokens that are frequent come last in all orders; ties are broken by another scrambling in each order. Any order
+2. First pairs: nodes with the same first token under a plain scrambling are paired with one pivot, a few pairs a node. That
+   joins most groups of near copies before any of the following.
+3. Orders: tokens that are frequent come last in all orders; ties are broken by another scrambling in each order. Any order
    that is the same for all sets is correct, so frequencies may be a bounded list of heavy tokens.
-3. Candidates: different sets that link share SHARED tokens of their prefixes under every order. Postings of the first order's
-   prefixes are grouped by token. In a few rounds each node is paired with the one pivot, among its tokens' smallest nodes, that
-   it shares the most tokens with, which is linear in the nodes.
-4. Verification: a pair must share as many prefix tokens under the other orders, and then its sets are intersected.
-5. Tokens whose nodes lie in one component after that need no more pairs. For the others all pairs of nodes from different
-   components that share enough tokens are verified too, so no link between components is lost.
-6. Counts: all links are within components now. Where some pair of a component's sets hasn't been verified, its sets are dealt
+4. Candidates: different sets that link share SHARED tokens of their prefixes under every order. Postings of the first order's
+   prefixes are grouped by token. Tokens whose nodes lie in one component need no pairs. In a few rounds each node is paired
+   with the one pivot, among its open tokens' smallest nodes, that it shares the most tokens with.
+5. Then all pairs of nodes from different components that share enough open tokens, at places from which enough is left of both
+   sets, are verified too, so no link between components is lost.
+6. Verification: a pair must share as many prefix tokens under the other orders, and then its sets are intersected. Sets are
+   sent once a pair's side: a pivot's to the tasks that hold its partners, which are split where they are many.
+7. Counts: all links are within components now. Where some pair of a component's sets hasn't been verified, its sets are dealt
    into parts, and every two parts are intersected as a whole; only counts leave a task, no pairs.
 """
 
@@ -23,9 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import LAST_ID, discard, doc_id, documents, prepare, release, save
+from keyloom.llm.common import discard, documents, forget_tables, prepare, release, save
 from keyloom.llm.components import components
-from keyloom.llm.shingles import mixed, shingle_set
+from keyloom.llm.shingles import mixed, shingle_sets
 
 #: Links need a similarity of PERCENT / 100.
 PERCENT = 80
@@ -37,14 +40,18 @@ SHARED = 3
 TASK_HEAVY, HEAVY = 1 << 17, 1 << 20
 #: Bits of the filter before the table of heavy tokens.
 FILTER = 1 << 25
+#: Plain scramblings whose first tokens yield the first pairs.
+FIRSTS = 3
 #: Nodes from which a token of the first prefixes is ordered by frequency too, and rounds of pairs with pivots at most.
-RECOUNTED, ROUNDS = 8, 4
+RECOUNTED, ROUNDS = 8, 3
+#: Partners of a pivot in one task, about; rows of a table that is sent to all executors, at most.
+PARTNERS, BROADCAST = 500, 200_000
 #: Sets and tokens of a component's part, about.
 PART_SETS, PART_TOKENS = 2048, 2_000_000
 #: Columns of a dense product of two parts; pairs of a sparse step; how many dense cells cost as much as a sparse pair.
 DENSE, SPARSE, CHEAPER = 2048, 2_000_000, 64
 #: Tokens that a task gathers before it counts them.
-COUNT_EVERY = 6_000_000
+COUNT_EVERY = 2_000_000
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -58,6 +65,7 @@ def _set_key(s: np.ndarray) -> tuple[int, int]:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of kind 0 (id, size, set hash, text hash) and, at the task's end, of kind 1 (token, count) for tokens of several sets."""
+    forget_tables()
     seen: set[int] = set()
     held: list[np.ndarray] = []
     n_held, tokens, counts = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -74,10 +82,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         rows = []
-        for i, th, text in zip(*[batch.column(c).to_pylist() for c in ("id", "th", "text")], strict=True):
-            s = shingle_set(text)
+        for doc, i, th, s in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "id", "th")], shingle_sets(batch.column("text")), strict=True):
             a, b = _set_key(s) if len(s) else (0, 0)
-            rows.append((0, i, len(s), a, b, th))
+            rows.append((0, i, len(s), a, b, th, [int(t) for t in _signed(_firsts(s))] if len(s) else None, doc))
             if len(s) and a not in seen:
                 seen.add(a)
                 held.append(s)
@@ -87,7 +94,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(rows)
     count()
     zeros = np.zeros(len(tokens), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((zeros + 1, _signed(tokens), counts, zeros, zeros, zeros), SCAN.types, strict=True)], schema=SCAN)
+    columns = [pa.array(v, t) for v, t in zip((zeros + 1, _signed(tokens), counts, zeros, zeros, zeros), SCAN.types[:6], strict=True)]
+    yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(tokens), t) for t in SCAN.types[6:])], schema=SCAN)
+
+
+def _firsts(s: np.ndarray) -> np.ndarray:
+    """The first tokens of a set under plain scramblings."""
+    return np.array([s[np.argmin(mixed(s, 20 + k))] for k in range(FIRSTS)], np.uint64)
 
 
 def _heavy(sums: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +123,7 @@ def _ordered(*parts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return tokens[at][np.sort(first)][:HEAVY]
 
 
-SCAN = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("th", pa.int64())])
+SCAN = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("th", pa.int64()), ("firsts", pa.list_(pa.int64())), ("doc_id", pa.int64())])
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -129,7 +142,7 @@ class Orders:
         np.bitwise_or.at(self.seen, (low >> np.uint64(3)).astype(np.int64), np.uint8(1) << (low & np.uint64(7)).astype(np.uint8))
 
     def prefix(self, s: np.ndarray, order: int) -> np.ndarray:
-        """The tokens of which a linked set must have one in its own prefix."""
+        """The first tokens, in order, of which a linked set must have SHARED in its own prefix."""
         rank = np.zeros(len(s), np.int64)
         low = s & np.uint64(FILTER - 1)  # few tokens are heavy: a bit for each value of the low bits tells most others
         maybe = np.flatnonzero(self.seen[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & np.uint8(1))
@@ -139,7 +152,8 @@ class Orders:
         most = _most(len(s))
         scrambled = mixed(s, order + 1)
         if not rank.any():
-            return s if most >= len(s) else s[np.argpartition(scrambled, most - 1)[:most]]
+            at = np.argpartition(scrambled, most - 1)[:most] if most < len(s) else np.arange(len(s))
+            return s[at[np.argsort(scrambled[at])]]
         return s[np.lexsort((scrambled, rank))[:most]]
 
 
@@ -240,78 +254,89 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     rows = documents(docs).withColumn("th", F.xxhash64("text"))
-    scanned = save(rows.mapInArrow(_scan, "kind int, a long, n long, s1 long, s2 long, th long"), "shingle-sets")
-    sets = scanned.where("kind = 0").select(F.col("a").alias("id"), "n", "s1", "s2", "th")
+    scanned = save(rows.mapInArrow(_scan, "kind int, a long, n long, s1 long, s2 long, th long, firsts array<long>, doc_id long"), "shingle-sets")
+    sets = scanned.where("kind = 0").select("doc_id", F.col("a").alias("id"), "n", "s1", "s2", "th", "firsts")
+    # Links and components are between keys, one for each set; at is a row that has the set: ids alone may be null or repeated.
+    nodes = sets.where("n > 0").groupBy(F.col("s1").alias("node"), "s2").agg(F.min(F.struct("id", "th")).alias("at"), F.first("n").alias("n"), F.first("firsts").alias("firsts"), F.min("doc_id").alias("doc_id"))
+    nodes = save(nodes.select("node", "s2", "n", "at.id", "at.th", "firsts", "doc_id", F.monotonically_increasing_id().alias("key")), "nodes")
 
     def postings(heavy) -> DataFrame:
         def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             orders, seen = Orders(heavy.value), set()
             for batch in batches:
-                tokens, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-                for text in batch.column("text").to_pylist():
-                    s = shingle_set(text)
+                tokens, owners = [np.zeros(0, np.uint64)], []
+                for s in shingle_sets(batch.column("text")):
                     if len(s) and (key := _set_key(s)[0]) not in seen:
                         seen.add(key)
-                        tokens.append(p := orders.prefix(s, 0))
-                        nodes.append(np.full(len(p), key, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), pa.array(np.concatenate(nodes))], names=["token", "node"])
-
-        return save(rows.select("text").mapInArrow(prefixes, "token long, node long"), "prefixes")
-
-    # What a task sees once may be frequent over all tasks: the first prefixes tell, and are made anew.
-    reported = _heavy(save(scanned.where("kind = 1").groupBy(F.col("a").alias("token")).agg(F.sum("n").alias("n")), "heavy-tokens"))
-    heavy = spark.sparkContext.broadcast(_ordered(reported))
-    raw = postings(heavy)
-    recounted = _heavy(save(raw.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= RECOUNTED), "heavy-tokens"))
-    if len(recounted[0]):
+                        tokens.append(orders.prefix(s, 0))
+                        owners.append((key, len(s), len(tokens[-1])))
+                node, n, most = np.array(owners, np.int64).reshape(-1, 3).T
+                place = np.arange(most.sum()) - np.repeat(np.cumsum(most) - most, most)
+                columns = [_signed(np.concatenate(tokens)), np.repeat(node, most), np.repeat(n, most).astype(np.int32), place.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "n", "place"])
+
+        return save(rows.select("text").mapInArrow(prefixes, "token long, node long, n int, place int"), "prefixes")
+
+    def shared_postings():
+        """The postings of tokens that are in several nodes' prefixes, and the order's heavy tokens."""
+        reported = _heavy(save(scanned.where("kind = 1").groupBy(F.col("a").alias("token")).agg(F.sum("n").alias("n")), "heavy-tokens"))
+        heavy = spark.sparkContext.broadcast(_ordered(reported))
+        raw = postings(heavy)
+        # What a task sees once may be frequent over all tasks: the first prefixes tell, and are made anew.
+        recounted = _heavy(save(raw.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= RECOUNTED), "heavy-tokens"))
+        if len(recounted[0]):
+            discard(raw)
+            release(spark)
+            heavy = spark.sparkContext.broadcast(_ordered(reported, recounted))
+            raw = postings(heavy)
+        shared = raw.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("token")
+        posted = save(raw.join(shared, "token").distinct(), "postings")
         discard(raw)
         release(spark)
-        heavy = spark.sparkContext.broadcast(_ordered(reported, recounted))
-        raw = postings(heavy)
-    shared = raw.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("token")
-    posted = save(raw.join(shared, "token").distinct(), "postings")
-    discard(raw)
-    release(spark)
-    # Links and components are between keys, one for each set; at is a row that has the set: ids alone may be null or repeated.
-    nodes = sets.where("n > 0").groupBy(F.col("s1").alias("node"), "s2").agg(F.min(F.struct("id", "th")).alias("at"), F.first("n").alias("n"))
-    nodes = save(nodes.select("node", "s2", "n", "at.id", "at.th", F.monotonically_increasing_id().alias("key")), "nodes")
+        return posted, heavy
 
-    def similar_in_size(pairs: DataFrame) -> DataFrame:
-        of = lambda c: nodes.groupBy(F.col("node").alias(c)).agg(F.min("n").alias(f"least_{c}"), F.max("n").alias(f"most_{c}"))
-        fits = (100 * F.col("most_x") >= PERCENT * F.col("least_y")) & (100 * F.col("most_y") >= PERCENT * F.col("least_x"))
-        return pairs.join(of("x"), "x").join(of("y"), "y").where(fits).select("x", "y")
+    posted, heavy = shared_postings()
+
+    def text_rows(wanted: DataFrame) -> DataFrame:
+        """Rows of the wanted (id, th, ...) with their texts; a short list is sent to the texts, a long one meets them in a shuffle."""
+        wanted = save(wanted, "wanted")
+        return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted, ["id", "th"])
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders, seen = Orders(heavy.value), set()
         for batch in batches:
             keep = []
-            for key, node, s2, text in zip(*[batch.column(c).to_pylist() for c in ("key", "node", "s2", "text")], strict=True):
-                if key in seen:
-                    continue  # a repeated row
-                s = shingle_set(text)
-                if len(s) and _set_key(s) == (node, s2):
+            for key, node, s2, s in zip(*[batch.column(c).to_pylist() for c in ("key", "node", "s2")], shingle_sets(batch.column("text")), strict=True):
+                if key not in seen and len(s) and _set_key(s) == (node, s2):  # not a repeated row
                     seen.add(key)
                     keep.append((key, node, s.tobytes(), b"".join(np.sort(orders.prefix(s, k)).tobytes() for k in range(1, ORDERS))))
             yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in keep], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["key", "node", "tokens", "prefixes"])
 
-    def members_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
-        wanted = nodes.join(wanted, "node", "left_semi").select("key", "node", "s2", "id", "th")
-        out = save(rows.join(wanted, ["id", "th"]).mapInArrow(members, "key long, node long, tokens binary, prefixes binary"), "members")
-        release(spark)
-        return out
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by pivot, the pivot's own first and then its partners."""
+        x, pivots = None, {}
         for batch in batches:
-            sets = [[np.frombuffer(v, np.uint64) for v in batch.column(c).to_pylist()] for c in ("xs", "ys", "xp", "yp")]
-            keep = pa.array([linked(*both) for both in zip(*sets, strict=True)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(keep)
+            found = []
+            for pivot, salt, partner, key, tokens, prefixes in zip(*[batch.column(c).to_pylist() for c in ("x", "salt", "partner", "key", "tokens", "prefixes")], strict=True):
+                if (pivot, salt) != x:
+                    x, pivots = (pivot, salt), {}
+                own = np.frombuffer(tokens, np.uint64), np.frombuffer(prefixes, np.uint64)
+                if not partner:
+                    pivots[key] = own
+                else:
+                    found += [(k, key) for k, p in pivots.items() if k != key and linked(p[0], own[0], p[1], own[1])]
+            yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in range(2)], names=["a", "b"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        own = members_of(pairs)
-        left = own.select(F.col("node").alias("x"), F.col("key").alias("a"), F.col("tokens").alias("xs"), F.col("prefixes").alias("xp"))
-        right = own.select(F.col("node").alias("y"), F.col("key").alias("b"), F.col("tokens").alias("ys"), F.col("prefixes").alias("yp"))
-        links = pairs.join(left, "x").join(right, "y").where("a != b").select("a", "b", "xs", "ys", "xp", "yp").mapInArrow(verify, "a long, b long")
+        """Links (a, b) between keys of the saved pairs of nodes (x, y), x being a pivot of y."""
+        wanted = nodes.join(pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct(), "node", "left_semi")
+        own = save(text_rows(wanted.select("key", "node", "s2", "id", "th")).mapInArrow(members, "key long, node long, tokens binary, prefixes binary"), "members")
+        release(spark)
+        parts = pairs.groupBy("x").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+        sides = pairs.join(parts, "x").select("x", F.pmod(F.xxhash64("y"), "parts").alias("salt"), F.lit(True).alias("partner"), F.col("y").alias("node"))
+        sides = sides.union(parts.select("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"), F.lit(False).alias("partner"), F.col("x").alias("node")))
+        sides = sides.join(own, "node").select("x", "salt", "partner", "key", "tokens", "prefixes")
+        links = sides.repartition("x", "salt").sortWithinPartitions("x", "salt", "partner").mapInArrow(verify, "a long, b long")
         links = save(links.distinct(), "links")
         discard(own)
         release(spark)
@@ -335,15 +360,15 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
             seen = set()
             for batch in batches:
                 keep, tokens = [], []
-                for k, (key, node, s2, text) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("key", "node", "s2", "text")], strict=True)):
-                    if key not in seen and _set_key(s := shingle_set(text)) == (node, s2):
+                for k, (key, node, s2, s) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("key", "node", "s2")], shingle_sets(batch.column("text")), strict=True)):
+                    if key not in seen and len(s) and _set_key(s) == (node, s2):
                         seen.add(key)
                         keep.append(k)
                         tokens.append(s.tobytes())
                 kept = batch.select(["key", "label", "parts", "part"]).take(pa.array(keep, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(tokens, pa.binary())], names=["key", "label", "parts", "part", "tokens"])
 
-        own = rows.join(wanted, ["id", "th"]).mapInArrow(sets_of, "key long, label long, parts long, part long, tokens binary")
+        own = text_rows(wanted).mapInArrow(sets_of, "key long, label long, parts long, part long, tokens binary")
         own = own.select("key", "label", "part", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
         own = own.select("key", "label", "part", "tokens", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
         all_links = own.groupBy("label", "i", "j").applyInArrow(_count_links, "key long, n_links long")
@@ -351,42 +376,52 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         release(spark)
         return linked_nodes.join(all_links, "key", "left").select("key", F.coalesce("n_links", "found").alias("n_links"))
 
-    def open_tokens(labels: DataFrame | None) -> DataFrame:
-        """(token, node, label) of the tokens that still join several components."""
-        own = nodes.select("node", "key")
-        own = own.select("node", F.col("key").alias("label")) if labels is None else own.join(labels.withColumnRenamed("node", "key"), "key", "left").select("node", F.coalesce("label", "key").alias("label"))
+    def open_tokens(labels: DataFrame) -> DataFrame:
+        """(token, node, n, place, label) of the tokens that still join several components."""
+        own = nodes.select("node", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select("node", F.coalesce("label", "key").alias("label"))
         placed = save(posted.join(own, "node"), "placed")
         several = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-        return save(placed.join(several, "token"), "open")
+        out = save(placed.join(several, "token"), "open")
+        discard(placed)
+        release(spark)
+        return out
 
-    links, labels, tried = spark.createDataFrame([], "a long, b long"), None, None
+    fits = lambda a, b: (100 * F.col(a) >= PERCENT * F.col(b)) & (100 * F.col(b) >= PERCENT * F.col(a))
+    firsts = nodes.select("node", "n", F.posexplode("firsts").alias("order", "token"))
+    pivots = firsts.groupBy("order", "token").agg(F.min(F.struct("node", "n")).alias("p"), F.max("node").alias("last")).where("p.node < last").select("order", "token", "p")
+    paired = firsts.join(pivots, ["order", "token"]).where((F.col("node") != F.col("p.node")) & fits("n", "p.n"))
+    tried = save(paired.select(F.col("p.node").alias("x"), F.col("node").alias("y")).distinct(), "pairs")
+    links = verified(tried)
+    labels = components(links)
     for _ in range(ROUNDS):
         open_ = open_tokens(labels)
         # Each node with the pivot, the node of the smallest label, that it shares the most open tokens with.
-        lowest = open_.groupBy("token").agg(F.min(F.struct("label", "node")).alias("p"))
-        near = open_.join(lowest, "token").where("label != p.label").groupBy(F.col("p.node").alias("x"), F.col("node").alias("y")).count().where(F.col("count") >= SHARED)
-        near = near if tried is None else near.join(tried, ["x", "y"], "left_anti")
-        best = similar_in_size(near).join(near, ["x", "y"]).groupBy("y").agg(F.max_by("x", F.struct("count", "x")).alias("x")).select("x", "y")
-        pairs = save(best, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
+        lowest = open_.groupBy("token").agg(F.min(F.struct("label", "node", "n")).alias("p"))
+        near = open_.join(lowest, "token").where((F.col("label") != F.col("p.label")) & fits("n", "p.n")).groupBy(F.col("p.node").alias("x"), F.col("node").alias("y")).count().where(F.col("count") >= SHARED)
+        near = near.join(tried, ["x", "y"], "left_anti").groupBy("y").agg(F.max_by("x", F.struct("count", "x")).alias("x")).select("x", "y")
+        pairs = save(near, "pairs")
+        tried = tried.union(pairs)
         new = verified(pairs)
         if new.isEmpty():
             break
+        discard(open_)
         links = links.union(new)
         labels = components(links)
-    open_ = open_tokens(labels)
-    far = open_.select("token", F.col("node").alias("x"), F.col("label").alias("lx")).join(open_.select("token", F.col("node").alias("y"), F.col("label").alias("ly")), "token").where("lx < ly")
-    far = similar_in_size(far.groupBy("x", "y").count().where(F.col("count") >= SHARED).select("x", "y"))
-    both = tried.union(tried.select("y", "x"))
-    far = save(far.join(both, ["x", "y"], "left_anti"), "far-pairs")
+    else:
+        open_ = open_tokens(labels)
+    left, right = (open_.select(F.col("token").alias(f"t{c}"), F.col("node").alias(c), F.col("label").alias(f"l{c}"), F.col("n").alias(f"n{c}"), F.col("place").alias(f"p{c}")) for c in "xy")
+    # Of a linked pair's first SHARED common tokens each leaves both sets as much as they must still share.
+    enough = 9 * (F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) + SHARED - 1) >= 4 * (F.col("nx") + F.col("ny"))
+    far = left.join(right, (F.col("tx") == F.col("ty")) & (F.col("lx") < F.col("ly")) & fits("nx", "ny") & enough)
+    far = far.groupBy("x", "y").count().where(F.col("count") >= SHARED).select("x", "y")
+    far = save(far.join(tried.union(tried.select("y", "x")), ["x", "y"], "left_anti"), "far-pairs")
     if not far.isEmpty():
         links = links.union(verified(far))
         labels = components(links)
-    labels = spark.createDataFrame([], "node long, label long") if labels is None else labels
     degree = counted(links, labels)
-    classes = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left").select(F.col("node").alias("s1"), "s2", "id", F.coalesce("label", "key").alias("label"), "n_links")
-    least = nodes.join(labels.withColumnRenamed("node", "key"), "key").groupBy("label").agg(F.min("id").alias("least"))
-    classes = classes.join(least, "label", "left").select("s1", "s2", "label", F.coalesce("least", "id").alias("component"), "n_links")
+    classes = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left").select(F.col("node").alias("s1"), "s2", F.col("doc_id").alias("own"), F.coalesce("label", "key").alias("label"), "n_links")
+    least = nodes.join(labels.withColumnRenamed("node", "key"), "key").groupBy("label").agg(F.min("doc_id").alias("least"))
+    classes = classes.join(least, "label", "left").select("s1", "s2", "label", F.coalesce("least", "own").alias("component"), "n_links")
     out = sets.join(classes, ["s1", "s2"], "left")
-    low = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return out.select(doc_id(), F.col("n").alias("n_shingles"), F.when(low != LAST_ID, low).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "th", F.when(F.col("n") > 0, F.col("label")).alias("component"))
+    low = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), low.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "th", F.when(F.col("n") > 0, F.col("label")).alias("component"))
