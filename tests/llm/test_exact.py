@@ -12,8 +12,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from keyloom.llm import decontamination, token_files
 from keyloom.llm import jaccard_join as module
-from keyloom.llm import token_files
 from keyloom.llm.components import components
 from keyloom.llm.decontamination import leaks
 from keyloom.llm.jaccard_join import jaccard_join
@@ -181,6 +181,30 @@ def test_base_spans_stay(spark, docs, rows):
     assert all(r.n_email == r.base.count("email:") and r.n_phone == r.base.count("phone:") for r in out)
 
 
+def test_secrets_are_found_by_the_method_alone(spark):
+    r = random.Random(5)
+    key = lambda n: "".join(r.choices("0123456789abcdef", k=n))
+    say = lambda n: " ".join("".join(r.choices("bcdfgklmnprst", k=r.randint(2, 9))) for _ in range(n))
+    data, planted = [], {}
+    for i in range(300):
+        secret = (f'token = "{key(40)}"', f"password={key(18)}", "AKIA" + "".join(r.choices("ABCDEFGHJK234567", k=16)), "", say(1) * 6, f"commit {key(12)} v1")[i % 6]
+        text = f"😀 {say(20)} {secret} {say(20)} a{i}@mail.example.com"
+        value = re.search(r"[0-9a-f]{40}|(?<==)[0-9a-f]{18}|AKIA\w+", secret)
+        if value:
+            planted[i] = (text.index(value[0]), text.index(value[0]) + len(value[0]))
+        data.append((i, text))
+    out = {x.doc_id: x for x in find_personal_data(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    added = {i: [(s.start, s.end) for s in x.spans if s.k == 4] for i, x in out.items()}
+    assert all(added[i] == [span] for i, span in planted.items()) and not any(added[i] for i in out if i not in planted)
+    assert all(len(x.base) == 1 and len(x.spans) == 1 + len(added[i]) for i, x in out.items())
+
+
+def test_spans_of_one_text_may_be_many(spark):
+    text = "é " + " ".join(f"u{k}@m.example.com +1 (234) 555-{1000 + k}" for k in range(700))
+    out = find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(s.k, s.start, s.end) for s in out.base] == sorted(((0, 1, 2, 3)[("email", "ip", "card", "phone").index(k)], a, b) for k, a, b in base_spans(text))
+
+
 def test_votes_are_weighed():
     rows = [(0, (1, 1, 1, 1, 1), 500), (0, (1, 1, 1, 0, 1), 300), (0, (-1, -1, -1, -1, -1), 400), (0, (-1, -1, 1, -1, -1), 300)]
     p = estimate(rows)
@@ -205,6 +229,12 @@ def test_quality_statistics(docs, rows):
     assert not any(r.kept for r in out if r.base_failed)
 
 
+def test_repeated_windows_among_others(spark):
+    text = "w1 w27 w9 u1 u2 w22 w103 w97 u3 u4 w1 w27 w9 u5 u6 w22 w103 w97 u7"
+    out = judge_quality(spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string")).first()
+    assert out.n_repeat_words == 12 == statistics(text)[4]
+
+
 def test_outliers_are_rejected_and_prose_stays(spark):
     r = random.Random(8)
     clean = [(i, " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 9))) for _ in range(r.randint(60, 300))), "en", "s") for i in range(300)]
@@ -231,6 +261,35 @@ def test_leaks(spark, block):
     assert all(r.covered_words == r.item_words for r in out)
 
 
+def test_tiles_along_a_document_are_those_of_its_seeds(monkeypatch):
+    r = random.Random(7)
+    for _ in range(60):
+        item, doc = ([r.choice("ab" if r.random() < 0.8 else "abcdef") for _ in range(r.randint(1, n))] for n in (40, 200))
+        found = []
+        for listed in (decontamination.LISTED, -1):
+            monkeypatch.setattr(decontamination, "LISTED", listed)
+            items = decontamination.Items([(1, decontamination.word_hashes(" ".join(item)))])
+            found.append(list(items.covered(decontamination.word_hashes(" ".join(doc)), 20)))
+            monkeypatch.undo()
+        assert found[0] == found[1]
+
+
+def test_repeated_words_take_no_product_of_memory():
+    items = decontamination.Items([(1, decontamination.word_hashes("ha " * 500))])
+    assert list(items.covered(decontamination.word_hashes("ha " * 100_000), 60)) == [(0, 500, 1)]
+
+
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_pieces_are_the_librarys(path):
+    from tokenizers import Tokenizer
+
+    plain, r = Tokenizer.from_file(path), random.Random(1)
+    plain.encode_special_tokens = True
+    parts = ["'", "s", "t", "re", "ve", "ll", "d", "m", " ", "  ", "\n", "\t", "\xa0", "a", "Z", "é", "9", "1", "½", ".", "!?", "…", "€", "—", "'S", "\r\n", "_", "º"]
+    odd = ["".join(r.choices(parts, k=r.randint(0, 30))) for _ in range(3000)] + ["word " * 250_000 + "end"]
+    assert [x.tolist() for x in Encoder(path).encode(odd)] == [e.ids for e in plain.encode_batch(odd, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("path", [WORDS, BYTES])
 def test_ids_are_the_librarys(texts, path):
     from tokenizers import Tokenizer
