@@ -1,6 +1,7 @@
 """Set-based commands: aggregations and windows over a command log (seq, ts, op, key, field, value, seconds).
 
 Order is (ts, seq) within a key. Aggregations over hot keys combine on the map side; running replies partition by key.
+Commands that lack an argument or exceed a limit change nothing here, as in the fold.
 """
 
 from __future__ import annotations
@@ -8,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyloom.model import MAX_NAME
+from keyloom.operators.reducer import HIGH, LOW, Limits
+
 
 def _by(*keys: str):
     return Window.partitionBy(*keys).orderBy("ts", "seq")
@@ -17,16 +21,32 @@ def _before(*keys: str):
     return _by(*keys).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _within(column: str, most: int, least: int = 0) -> Column:
+    return F.coalesce(F.octet_length(column).between(least, most), F.lit(False))
+
+
+def _sets(limits: Limits = Limits()) -> Column:  # noqa: B008
+    """Whether a row is a SET or DEL that does something."""
+    key = _within("key", limits.key, 1)
+    return key & ((F.col("op") == "DEL") | ((F.col("op") == "SET") & _within("value", limits.value)))
+
+
+def _field_sets(limits: Limits = Limits()) -> Column:  # noqa: B008
+    """Whether a row is an HSET or HDEL that may do something."""
+    key = _within("key", limits.key, 1) & _within("field", MAX_NAME, 1)
+    return key & ((F.col("op") == "HDEL") | ((F.col("op") == "HSET") & _within("value", limits.value)))
+
+
 def last_values(log: DataFrame) -> DataFrame:
     """Keys and values after SETs and DELs: the last command of a key wins."""
-    last = log.where(F.col("op").isin("SET", "DEL")).groupBy("key").agg(F.max_by(F.struct("op", "value"), F.struct("ts", "seq")).alias("last"))
+    last = log.where(_sets()).groupBy("key").agg(F.max_by(F.struct("op", "value"), F.struct("ts", "seq")).alias("last"))
     return last.where("last.op = 'SET'").select("key", "last.value")
 
 
 def get_replies(log: DataFrame) -> DataFrame:
     """Per command the value that a GET just before it would have had."""
     kept = F.struct("op", "value")
-    last = F.last(F.when(F.col("op").isin("SET", "DEL"), kept), ignorenulls=True).over(_before("key"))
+    last = F.last(F.when(_sets(), kept), ignorenulls=True).over(_before("key"))
     return log.withColumn("last", last).select("seq", "key", F.when(F.col("last.op") == "SET", F.col("last.value")).alias("reply"))
 
 
@@ -40,12 +60,22 @@ def _step() -> Column:
 
 
 def counter_replies(log: DataFrame) -> DataFrame:
-    """Replies to INCR and DECR; SET and DEL begin a segment, whose base is the number that was set, or 0."""
+    """Replies to INCR and DECR; SET and DEL begin a segment, whose base is the number that was set, or 0.
+
+    A step beyond 64 bits is error 22003 and changes nothing, so the value is the running sum less what went over."""
     from keyloom.functions.codec import parse_int
 
-    cut = log.withColumn("segment", F.count_if(F.col("op").isin("SET", "DEL")).over(_by("key")))
+    cut = log.withColumn("segment", F.count_if(_sets()).over(_by("key")))
     base = F.first(F.when(F.col("op") == "SET", parse_int(F.col("value"))).otherwise(0)).over(_by("key", "segment"))
-    return cut.withColumn("base", base).withColumn("reply", F.col("base") + F.sum(_step()).over(_by("key", "segment"))).where(F.col("op").isin("INCR", "DECR")).select("seq", "key", "reply", F.when(F.col("base").isNull(), "22P02").alias("err_state"))
+    cut = cut.withColumn("base", base).withColumn("sum", F.sum(_step()).over(_by("key", "segment")))
+    up, down = F.lit(HIGH) - F.greatest("base", F.lit(0)), F.lit(LOW) - F.least("base", F.lit(0))
+    most, least = F.max("sum").over(_by("key", "segment")), F.min("sum").over(_by("key", "segment"))
+    over = F.when(most > up, most - up).when(least < down, least - down).otherwise(0)  # no log is long enough for both
+    cut = cut.withColumn("value_now", F.col("base") + (F.col("sum") - over))
+    before = F.coalesce(F.lag("value_now").over(_by("key", "segment")), F.col("base"))
+    cut = cut.withColumn("beyond", F.coalesce(before == F.col("value_now"), F.lit(False)) & F.col("op").isin("INCR", "DECR"))
+    error = F.when(F.col("base").isNull(), "22P02").when(F.col("beyond"), "22003")
+    return cut.where(F.col("op").isin("INCR", "DECR")).select("seq", "key", F.when(~F.col("beyond"), F.col("value_now")).alias("reply"), error.alias("err_state"))
 
 
 def refreshed_ttl(log: DataFrame, ttl: int) -> DataFrame:
@@ -63,14 +93,14 @@ def live_keys(log: DataFrame, ttl: int, as_of: Column) -> DataFrame:
 
 def fields(log: DataFrame) -> DataFrame:
     """Fields and values after HSETs and HDELs."""
-    last = log.where(F.col("op").isin("HSET", "HDEL")).groupBy("key", "field").agg(F.max_by(F.struct("op", "value"), F.struct("ts", "seq")).alias("last"))
+    last = log.where(_field_sets()).groupBy("key", "field").agg(F.max_by(F.struct("op", "value"), F.struct("ts", "seq")).alias("last"))
     return last.where("last.op = 'HSET'").select("key", "field", "last.value")
 
 
 def hset_replies(log: DataFrame) -> DataFrame:
     """Whether each HSET made a new field."""
     window = _by("key", "field")
-    return log.withColumn("was", F.lag("op").over(window)).where("op = 'HSET'").select("seq", "key", "field", (F.col("was").isNull() | (F.col("was") == "HDEL")).alias("is_new"))
+    return log.where(_field_sets()).withColumn("was", F.lag("op").over(window)).where("op = 'HSET'").select("seq", "key", "field", (F.col("was").isNull() | (F.col("was") == "HDEL")).alias("is_new"))
 
 
 def pushed(log: DataFrame) -> DataFrame:
@@ -107,9 +137,16 @@ def stack_pops(log: DataFrame) -> DataFrame:
 
 
 def epochs(log: DataFrame, every: DataFrame) -> DataFrame:
-    """log with epoch, the number of FLUSHALLs up to each row; every has their (ts, seq), few as barriers are."""
-    at = every.agg(F.sort_array(F.collect_list(F.struct("ts", "seq"))).alias("barriers"))
-    return log.crossJoin(F.broadcast(at)).withColumn("epoch", F.size(F.filter("barriers", lambda b: b <= F.struct("ts", "seq")))).drop("barriers")
+    """log with epoch, the number of FLUSHALLs up to each row; every has their (ts, seq).
+
+    FLUSHALLs are counted by day, and only those of a row's own day are compared with it."""
+    day = F.to_date("ts").alias("day")
+    per_day = every.groupBy(day).agg(F.sort_array(F.collect_list(F.struct("ts", "seq"))).alias("barriers"))
+    days = log.select(day).distinct().join(per_day, "day", "full").withColumn("barriers", F.coalesce("barriers", F.array().cast("array<struct<ts:timestamp,seq:bigint>>")))
+    earlier = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # a row per day
+    days = days.withColumn("earlier", F.coalesce(F.sum(F.size("barriers")).over(earlier), F.lit(0)))
+    upto = F.size(F.filter("barriers", lambda b: b <= F.struct(F.col("ts").cast("timestamp").alias("ts"), F.col("seq").cast("long").alias("seq"))))
+    return log.withColumn("day", F.to_date("ts")).join(days, "day").withColumn("epoch", F.col("earlier") + upto).drop("day", "barriers", "earlier")
 
 
 def committed(log: DataFrame, rolled_back: DataFrame) -> DataFrame:

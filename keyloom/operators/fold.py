@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from keyloom.model import ITEMS, KvError
 from keyloom.operators.reducer import Entry, Limits, apply
+from keyloom.shipping import ship
 
 FOLDED = f"kind string, seq long, op string, key string, reply_text string, reply_int long, reply_bool boolean, err_state string, err_msg string, err_detail string, type string, str string, int long, fields map<string,string>, items {ITEMS}, expire_us long, version long"
 NO_REPLY = (None,) * 6
@@ -52,6 +53,7 @@ def fold(log: DataFrame, limits: Limits = Limits(), by: tuple[str, ...] = ("key"
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in FOLDED.replace("struct<ord:long,value:string>", "x").replace("map<string,string>", "x").split(", ")], dtype=object)
         return frame
 
+    ship(log.sparkSession)
     rows = log.select("seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "op", "key", "field", "value", "seconds", *[c for c in by if c != "key"])
     return rows.groupBy(*by).applyInPandas(run, FOLDED)
 

@@ -1,18 +1,19 @@
 """A keyspace's durable tables: versions of three Parquet tables, and a manifest that names the current one.
 
-A commit writes new files beside the old ones and then replaces the manifest in one rename, so readers see a whole version
-or the one before. Rows of keys that aren't touched are carried over by anti-joins; a touched key's children are replaced.
+A commit writes new files beside the old ones and then adds the next manifest, which names them, in one rename that fails if
+another commit from the same version was first. So readers see a whole version or the one before, and no commit is lost. Rows of keys that aren't touched are carried over by anti-joins; a touched key's children are replaced.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.functions import codec
-from keyloom.model import HASH_FIELDS, LIST_ITEMS, STORE
+from keyloom.model import HASH_FIELDS, LIST_ITEMS, STORE, KvError
 
 TABLES = {"store": STORE, "hash_fields": HASH_FIELDS, "list_items": LIST_ITEMS}
 
@@ -26,20 +27,26 @@ def work_folder(spark: SparkSession, name: str) -> str:
 class Store:
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark, self.folder = spark, (folder or work_folder(spark, "store")).rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._path = self._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(self._conf)
 
     def version(self) -> str | None:
-        """The current version's name, which is that of the newest manifest."""
+        """The current version's folder, which the newest manifest names."""
         place = self._path(f"{self.folder}/manifests")
         if not self._fs.exists(place):
             return None
         names = sorted(s.getPath().getName() for s in self._fs.listStatus(place) if not s.getPath().getName().startswith("."))
-        return names[-1] if names else None
-
-    def table(self, name: str) -> DataFrame:
-        version = self.version()
+        if not names:
+            return None
+        file = self._fs.open(self._path(f"{self.folder}/manifests/{names[-1]}"))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+        finally:
+            file.close()
+
+    def table(self, name: str, version: str | None = None) -> DataFrame:
+        version = version or self.version()
         return self.spark.createDataFrame([], TABLES[name]) if version is None else self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{version}/{name}")
 
     def state(self, now: Column | None = None) -> DataFrame:
@@ -54,26 +61,38 @@ class Store:
 
     def commit(self, changed: DataFrame, removed: DataFrame | None, now: Column) -> None:
         """Put the STATE rows of changed in place, and remove the keys of removed (key) with their children."""
+        base = self.version()
         touched = changed.select("key") if removed is None else changed.select("key").union(removed.select("key"))
-        rest = lambda name: self.table(name).join(touched, "key", "left_anti")
+        rest = lambda name: self.table(name, base).join(touched, "key", "left_anti")
         parents = changed.select("key", "type", codec.encode(F.col("type"), F.col("str"), F.col("int")).alias("value"), "expire_at", "version", now.alias("updated_at"))
         fields = changed.where("type = 'hash'").select("key", F.explode("fields").alias("field", "v")).select("key", "field", F.encode("v", "UTF-8").alias("value"))
         items = changed.where("type = 'list'").select("key", F.explode("items").alias("i")).select("key", "i.ord", F.encode("i.value", "UTF-8").alias("value"))
-        self._write({"store": rest("store").unionByName(parents), "hash_fields": rest("hash_fields").unionByName(fields), "list_items": rest("list_items").unionByName(items)})
+        self._write({"store": rest("store").unionByName(parents), "hash_fields": rest("hash_fields").unionByName(fields), "list_items": rest("list_items").unionByName(items)}, base)
 
     def clear(self) -> None:
-        self._write({name: self.spark.createDataFrame([], schema) for name, schema in TABLES.items()})
+        self._write({name: self.spark.createDataFrame([], schema) for name, schema in TABLES.items()}, self.version())
 
     def sweep(self, now: Column) -> None:
         """Remove expired keys and their children."""
         expired = self.table("store").where(F.col("expire_at") <= now).select("key")
         self.commit(self.spark.createDataFrame([], "key string, type string, str string, int long, fields map<string,string>, items array<struct<ord:long,value:string>>, expire_at timestamp, version long"), expired, now)
 
-    def _write(self, tables: dict[str, DataFrame]) -> None:
-        version = f"v{int((self.version() or 'v0').split('-')[0][1:]) + 1:09d}-{uuid.uuid4().hex[:8]}"
-        for name, df in tables.items():
-            df.write.parquet(f"{self.folder}/{version}/{name}")
-        draft, final = self._path(f"{self.folder}/manifests/.{version}"), self._path(f"{self.folder}/manifests/{version}")
-        self._fs.create(draft).close()
-        if not self._fs.rename(draft, final):
-            raise OSError(f"can't publish {version}")
+    def _write(self, tables: dict[str, DataFrame], base: str | None) -> None:
+        """Write and publish the version after base; error 40001 if another one was published since."""
+        name = f"v{int((base or 'v0').split('-')[0][1:]) + 1:09d}"
+        version = f"{name}-{uuid.uuid4().hex[:8]}"
+        for table, df in tables.items():
+            df.write.parquet(f"{self.folder}/{version}/{table}")
+        draft, final = self._path(f"{self.folder}/manifests/.{version}"), self._path(f"{self.folder}/manifests/{name}")
+        out = self._fs.create(draft)
+        out.write(version.encode())
+        out.close()
+        none = self._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = none
+        try:
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri() if draft.toUri().getScheme() else self._fs.getUri(), self._conf).rename(draft, final, options)
+        except Py4JJavaError as e:
+            if self._fs.exists(final):
+                raise KvError("40001", "could not serialize access due to concurrent update", f"version {name} is another session's") from e
+            raise

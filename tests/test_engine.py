@@ -176,3 +176,30 @@ def test_entry_point(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_two_commits_from_one_version(spark, tmp_path):
+    from keyloom.model import KvError
+    from keyloom.sources.store import Store
+
+    a, b = Store(spark, f"{tmp_path}/store"), Store(spark, f"{tmp_path}/store")
+    a.clear()
+    base, empty = b.version(), {name: a.table(name) for name in ("store", "hash_fields", "list_items")}
+    a.clear()
+    with pytest.raises(KvError) as e:
+        b._write(empty, base)
+    assert e.value.sqlstate == "40001" and a.version() == b.version() != base
+
+
+def test_set_based_forms_agree_with_the_fold(spark):
+    from keyloom.operators import batch
+    from keyloom.operators.fold import fold, replies, states
+
+    log = [("a", "SET", "1", None), ("a", "SET", None, None), ("a", "SET", "x" * 1_048_577, None), ("b", "SET", str(2**63 - 2), None), ("b", "INCR", None, None), ("b", "INCR", None, None), ("b", "DECR", None, None), ("b", "INCR", None, None), ("c", "SET", str(-(2**63)), None), ("c", "DECR", None, None), ("c", "INCR", None, None), ("d", "HSET", "v", "f"), ("d", "HSET", None, "f"), ("d", "HSET", "w", None)]
+    rows = spark.createDataFrame([(i, i, k, op, v, f) for i, (k, op, v, f) in enumerate(log)], "seq long, at long, key string, op string, value string, field string")
+    rows = rows.select("seq", F.timestamp_seconds("at").alias("ts"), F.lit(None).cast("long").alias("txn"), "op", "key", "field", "value", F.lit(None).cast("int").alias("seconds"))
+    folded = fold(rows).cache()
+    assert {r.key: r.value for r in batch.last_values(rows.where("key = 'a'")).collect()} == {r.key: r.str for r in states(folded).where("key = 'a'").collect()} == {"a": "1"}
+    expected = {r.seq: (r.reply_int, r.err_state) for r in replies(folded).where("op in ('INCR', 'DECR')").collect()}
+    assert {r.seq: (r.reply, r.err_state) for r in batch.counter_replies(rows.where("key in ('b', 'c')")).collect()} == expected and sum(e == "22003" for _, e in expected.values()) == 2
+    assert [(r.key, r.field, r.value) for r in batch.fields(rows).collect()] == [("d", "f", "v")]
