@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
 import sys
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyloom.shipping import ship
+
 #: ASCII white space as the contracts name it.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -66,16 +63,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def prepare(spark: SparkSession) -> None:
     """Before Python workers run: Arrow batches of few rows, since one row may be a very long text, and this package sent to them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-    sc = spark.sparkContext
-    if getattr(sc, "_keyloom_sent", False):
-        return
-    top, folder = Path(__file__).resolve().parents[2], tempfile.mkdtemp()  # the driver serves the archive as long as it runs
-    atexit.register(shutil.rmtree, folder, True)
-    with zipfile.ZipFile(archive := Path(folder, "keyloom_package.zip"), "w") as z:
-        for p in sorted((top / "keyloom").rglob("*.py")):
-            z.write(p, p.relative_to(top))
-    sc.addPyFile(str(archive))
-    sc._keyloom_sent = True
+    ship(spark)
 
 
 def forget_tables() -> None:
