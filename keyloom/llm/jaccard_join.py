@@ -1,13 +1,14 @@
 """Exact Jaccard self-join of word-shingle sets, by prefix filters under several global token orders.
 
 1. Sets: one scan yields each document's set size and a 128-bit hash of its set; equal sets are one node, whatever their ids.
-2. First pairs: nodes with the same first token under a plain scrambling are paired with one pivot, a few pairs a node. That
-   joins most groups of near copies before any of the following.
-3. Orders: tokens that are frequent come last in all orders; ties are broken by another scrambling in each order. Any order
+2. Orders: tokens that are frequent come last in all orders; ties are broken by another scrambling in each order. Any order
    that is the same for all sets is correct, so frequencies may be a bounded list of heavy tokens.
-4. Candidates: different sets that link share SHARED tokens of their prefixes under every order. Postings of the first order's
-   prefixes are grouped by token. Tokens whose nodes lie in one component need no pairs. In a few rounds each node is paired
-   with the one pivot, among its open tokens' smallest nodes, that it shares the most tokens with.
+3. Candidates: different sets that link share SHARED tokens of their prefixes under every order. Postings of the first order's
+   prefixes are grouped by token.
+4. First pairs: nodes with the same first token under a plain scrambling are paired with one pivot, and each node with a few
+   pivots of its tokens that it shares the most tokens with. Pivots are the nodes with the largest shares of shared tokens:
+   copies with few changes, which link with most of their group. Then tokens whose nodes lie in one component need no pairs,
+   and the others' nodes have another round of pivots, of other components.
 5. Then all pairs of nodes from different components that share enough open tokens, at places from which enough is left of both
    sets, are verified too, so no link between components is lost.
 6. Verification: a pair must share as many prefix tokens under the other orders, and then its sets are intersected. Sets are
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import discard, documents, forget_tables, prepare, release, save
@@ -42,8 +43,10 @@ TASK_HEAVY, HEAVY = 1 << 17, 1 << 20
 FILTER = 1 << 25
 #: Plain scramblings whose first tokens yield the first pairs.
 FIRSTS = 3
-#: Nodes from which a token of the first prefixes is ordered by frequency too, and rounds of pairs with pivots at most.
-RECOUNTED, ROUNDS = 8, 3
+#: Nodes from which a token of the first prefixes is ordered by frequency too.
+RECOUNTED = 8
+#: Pivots of a token and of a node, and rounds of pairs with pivots after the first pairs at most.
+PIVOTS, ROUNDS = 8, 1
 #: Partners of a pivot in one task, about; rows of a table that is sent to all executors, at most.
 PARTNERS, BROADCAST = 500, 200_000
 #: Sets and tokens of a component's part, about.
@@ -387,19 +390,39 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         return out
 
     fits = lambda a, b: (100 * F.col(a) >= PERCENT * F.col(b)) & (100 * F.col(b) >= PERCENT * F.col(a))
+    def sides(placed: DataFrame) -> list[DataFrame]:
+        return [placed.select("token", F.col("node").alias(c), F.col("label").alias(f"l{c}"), F.col("n").alias(f"n{c}"), F.col("place").alias(f"p{c}")) for c in "xy"]
+
+    # Of a linked pair's first SHARED common tokens each leaves both sets as much as they must still share.
+    enough = 9 * (F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) + SHARED - 1) >= 4 * (F.col("nx") + F.col("ny"))
+
+    def nearest(placed: DataFrame) -> DataFrame:
+        """Each node with the PIVOTS nodes that it shares the most tokens with, of those that are some token's pivots.
+
+        A copy with few changes has few tokens of its own, so most of its prefix is shared, and it links with many others. A token's
+        pivots are, by the length of that share, the first node of each of its first PIVOTS labels, so the join makes PIVOTS rows
+        a posting at most.
+        """
+        x, y = sides(placed)
+        x = x.withColumn("wx", F.count("*").over(Window.partitionBy("x")) / F.col("nx"))  # a node's postings are of one text
+        x = x.groupBy("token", "lx").agg(F.max(F.struct("wx", "x", "nx", "px")).alias("p")).select("token", "lx", "p.*")
+        x = x.withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("wx"), "lx"))).where(F.col("rank") <= PIVOTS).drop("rank", "wx")
+        near = y.join(x, "token").where((F.col("lx") != F.col("ly")) & fits("nx", "ny") & enough).groupBy("x", "y").count().where(F.col("count") >= SHARED)
+        if tried is not None:
+            near = near.join(tried, ["x", "y"], "left_anti")
+        best = F.row_number().over(Window.partitionBy("y").orderBy(F.desc("count"), "x"))
+        return near.withColumn("rank", best).where(F.col("rank") <= PIVOTS).select("x", "y")
+
     firsts = nodes.select("node", "n", F.posexplode("firsts").alias("order", "token"))
     pivots = firsts.groupBy("order", "token").agg(F.min(F.struct("node", "n")).alias("p"), F.max("node").alias("last")).where("p.node < last").select("order", "token", "p")
-    paired = firsts.join(pivots, ["order", "token"]).where((F.col("node") != F.col("p.node")) & fits("n", "p.n"))
-    tried = save(paired.select(F.col("p.node").alias("x"), F.col("node").alias("y")).distinct(), "pairs")
+    paired = firsts.join(pivots, ["order", "token"]).where((F.col("node") != F.col("p.node")) & fits("n", "p.n")).select(F.col("p.node").alias("x"), F.col("node").alias("y"))
+    tried = None
+    tried = save(paired.union(nearest(posted.withColumn("label", F.col("node")))).distinct(), "pairs")
     links = verified(tried)
     labels = components(links)
     for _ in range(ROUNDS):
         open_ = open_tokens(labels)
-        # Each node with the pivot, the node of the smallest label, that it shares the most open tokens with.
-        lowest = open_.groupBy("token").agg(F.min(F.struct("label", "node", "n")).alias("p"))
-        near = open_.join(lowest, "token").where((F.col("label") != F.col("p.label")) & fits("n", "p.n")).groupBy(F.col("p.node").alias("x"), F.col("node").alias("y")).count().where(F.col("count") >= SHARED)
-        near = near.join(tried, ["x", "y"], "left_anti").groupBy("y").agg(F.max_by("x", F.struct("count", "x")).alias("x")).select("x", "y")
-        pairs = save(near, "pairs")
+        pairs = save(nearest(open_), "pairs")
         tried = tried.union(pairs)
         new = verified(pairs)
         if new.isEmpty():
@@ -409,10 +432,8 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         labels = components(links)
     else:
         open_ = open_tokens(labels)
-    left, right = (open_.select(F.col("token").alias(f"t{c}"), F.col("node").alias(c), F.col("label").alias(f"l{c}"), F.col("n").alias(f"n{c}"), F.col("place").alias(f"p{c}")) for c in "xy")
-    # Of a linked pair's first SHARED common tokens each leaves both sets as much as they must still share.
-    enough = 9 * (F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) + SHARED - 1) >= 4 * (F.col("nx") + F.col("ny"))
-    far = left.join(right, (F.col("tx") == F.col("ty")) & (F.col("lx") < F.col("ly")) & fits("nx", "ny") & enough)
+    left, right = sides(open_)
+    far = left.join(right, "token").where((F.col("lx") < F.col("ly")) & fits("nx", "ny") & enough)
     far = far.groupBy("x", "y").count().where(F.col("count") >= SHARED).select("x", "y")
     far = save(far.join(tried.union(tried.select("y", "x")), ["x", "y"], "left_anti"), "far-pairs")
     if not far.isEmpty():
