@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions import codec
+from keyloom.model import ITEMS, KeyspaceConfig, KvError
 from keyloom.operators import batch, fold
 from keyloom.operators.reducer import Limits
 from keyloom.plans import admin
+from keyloom.session import KeyspaceSession
 from keyloom.sources import logs
+from keyloom.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -85,6 +89,11 @@ def incr_error_rows(spark, sf_dir):
     return batch.counter_replies(_based(spark, sf_dir, base, F.concat(F.lit("e:"), "user_id"))).select("seq", "err_state", "reply")
 
 
+@query("SELECT event_id AS seq, CASE WHEN n > 2 THEN '22003' END AS err_state, CASE WHEN n <= 2 THEN 9223372036854775805 + n END AS reply FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)")
+def incr_overflow_rows(spark, sf_dir):
+    return batch.counter_replies(_based(spark, sf_dir, F.lit("9223372036854775805"), F.concat(F.lit("o:"), "user_id"))).select("seq", "err_state", "reply")
+
+
 # Expiry
 
 GAP = f"{LATE} - lag({LATE}) {W}"
@@ -206,7 +215,16 @@ def rpop_tail(spark, sf_dir):
     return batch.stack_pops(logs.pushes_and_pops(spark, sf_dir, "RPUSH", "RPOP"))
 
 
-@query()
+#: A queue's commands one after the other, all queues at once.
+DEQUE = """WITH RECURSIVE c AS (SELECT event_id AS seq, 'q:' || user_id AS key, ['LPUSH', 'RPUSH', 'LPOP', 'RPOP', 'LLEN'][event_id % 5 + 1] AS op, CAST(event_id AS VARCHAR) AS v,
+row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT CAST(0 AS BIGINT) AS n, key, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS op, CAST([] AS VARCHAR[]) AS l, CAST(NULL AS VARCHAR) AS popped FROM (SELECT DISTINCT key FROM c)
+UNION ALL SELECT c.n, c.key, CAST(c.seq AS BIGINT), c.op, CASE c.op WHEN 'LPUSH' THEN [c.v] || r.l WHEN 'RPUSH' THEN r.l || [c.v] WHEN 'LPOP' THEN r.l[2:] WHEN 'RPOP' THEN r.l[:greatest(len(r.l) - 1, 0)] ELSE r.l END,
+CASE c.op WHEN 'LPOP' THEN r.l[1] WHEN 'RPOP' THEN r.l[len(r.l)] END FROM r JOIN c ON c.key = r.key AND c.n = r.n + 1)
+SELECT seq, op, key, popped AS reply_text, CASE WHEN op IN ('LPUSH', 'RPUSH', 'LLEN') THEN CAST(len(l) AS BIGINT) END AS reply_int FROM r WHERE n > 0"""
+
+
+@query(DEQUE)
 def deque_fold(spark, sf_dir):
     return fold.replies(fold.fold(logs.deque(spark, sf_dir))).select("seq", "op", "key", "reply_text", "reply_int")
 
@@ -386,6 +404,131 @@ def async_fifo_stream(spark, sf_dir):
     return streamed_replies(logs.pushes_and_pops(spark, sf_dir, "RPUSH", "LPOP")).where("op = 'LPOP'").select("seq", "key", F.col("reply_text").alias("reply"))
 
 
+@query(ORACLE_SQL["hdel_fields"])
+def change_events_replay(spark, sf_dir):
+    from keyloom.streaming.pipeline import replayed, streamed_events
+
+    left = replayed(streamed_events(logs.hashes(spark, sf_dir)))["hash_fields"]
+    return left.select("key", "field", F.decode("value", "UTF-8").alias("value"))
+
+
+# Durable tables
+
+
+def _stored(spark: SparkSession, sf_dir: str, types: tuple[str, ...] = ("string", "int", "hash", "list")) -> Store:
+    store = Store(spark)
+    store.commit(logs.keyspace(spark, sf_dir).where(F.col("type").isin(*types)), None, F.timestamp_seconds(F.lit(0)))
+    return store
+
+
+@query(f"SELECT 's:' || key AS key, 'string' AS type, NULL AS field, NULL AS value FROM ({ORACLE_SQL['set_last_value']}) UNION ALL SELECT 'h:' || key, 'hash', field, value FROM ({ORACLE_SQL['hdel_fields']})")
+def store_fields_join(spark, sf_dir):
+    store = _stored(spark, sf_dir, ("string", "hash"))
+    rows = store.table("store").join(store.table("hash_fields").withColumnRenamed("value", "v"), "key", "left")
+    return rows.select("key", "type", "field", F.decode("v", "UTF-8").alias("value"))
+
+
+@query(ORACLE_SQL["set_last_value"])
+def store_upsert(spark, sf_dir):
+    store, log = Store(spark), logs.sets(spark, sf_dir)
+    for part in (log.where("seq % 2 = 0"), log):  # the second puts its values in place of the first's
+        rows = batch.last_values(part).select("key", F.lit("string").alias("type"), F.col("value").alias("str"), *[F.lit(None).cast(t).alias(n) for n, t in (("int", "long"), ("fields", "map<string,string>"), ("items", ITEMS), ("expire_at", "timestamp"))], F.lit(1).cast("long").alias("version"))
+        store.commit(rows, None, F.timestamp_seconds(F.lit(0)))
+    return store.state().select("key", F.col("str").alias("value"))
+
+
+@query("SELECT '23505' AS err_state, count(DISTINCT user_id) AS kept FROM events")
+def store_insert_unique(spark, sf_dir):
+    store, rows = Store(spark), logs.keyspace(spark, sf_dir).where("type = 'string'")
+    store.insert(rows, F.timestamp_seconds(F.lit(0)))
+    state = None
+    try:
+        store.insert(rows.limit(1), F.timestamp_seconds(F.lit(0)))
+    except KvError as e:
+        state = e.sqlstate
+    return store.table("store").agg(F.lit(state).alias("err_state"), F.count("*").alias("kept"))
+
+
+@query("SELECT * FROM (VALUES ('store', CAST(0 AS BIGINT)), ('hash_fields', 0), ('list_items', 0)) t(name, n)")
+def store_truncate(spark, sf_dir):
+    store = _stored(spark, sf_dir)
+    store.clear()
+    counts = [store.table(name).agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name in ("store", "hash_fields", "list_items")]
+    return counts[0].union(counts[1]).union(counts[2])
+
+
+@query(f"SELECT 's:' || key AS key, value FROM ({ORACLE_SQL['set_last_value']}) WHERE key = (SELECT min('user:' || user_id) FROM events)")
+def store_keyed_read(spark, sf_dir):
+    key = logs.events(spark, sf_dir).agg(F.min(logs.user())).first()[0]
+    return _stored(spark, sf_dir, ("string",)).state(key=f"s:{key}").select("key", F.col("str").alias("value"))
+
+
+# Sessions
+
+
+def _session(spark: SparkSession, **settings) -> KeyspaceSession:
+    """A session whose clock stands still."""
+    return KeyspaceSession(spark, KeyspaceConfig(**settings), clock=lambda: 1_700_000_000_000_000)
+
+
+def _named(spark: SparkSession, sf_dir: str, kv: KeyspaceSession, table: str, key: str, name: str) -> KeyspaceSession:
+    """A session with a string for each row of a small table, set in one transaction."""
+    kv.begin()
+    for r in spark.read.parquet(f"{sf_dir}/{table}.parquet").collect():  # 25 nations, 5 regions
+        kv.set(f"{table}:{r[key]}", r[name])
+    kv.commit()
+    return kv
+
+
+@query("SELECT 'nation:' || n_nationkey AS key, n_name AS value FROM nation")
+def sql_functions(spark, sf_dir):
+    _named(spark, sf_dir, _session(spark), "nation", "n_nationkey", "n_name").sql_functions()
+    return spark.sql("SELECT key, kv_get(key) AS value FROM kv_keys()")
+
+
+@query("""SELECT 'queued' AS phase, count(*) AS write_head, CAST(0 AS BIGINT) AS read_head, count(*) AS events_pending, 0 AS stuck_writing_slots, 2 AS load_state, CAST(0 AS BIGINT) AS stored FROM region
+UNION ALL SELECT 'drained', count(*), count(*), 0, 0, 2, count(*) FROM region""")
+def ring_inspect(spark, sf_dir):
+    kv = _session(spark, persistence_mode="async_table", storage_mode="shared")
+    _named(spark, sf_dir, kv, "region", "r_regionkey", "r_name")
+    rows = []
+    for phase in ("queued", "drained"):
+        rows.append((phase, *kv.ring_inspect().first(), kv.load_state, kv.store.table("store").count()))
+        kv.drain()
+    return spark.createDataFrame(rows, "phase string, write_head long, read_head long, events_pending long, stuck_writing_slots int, load_state int, stored long")
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS wait_event, CAST(NULL AS BIGINT) AS waiters WHERE false")
+def lwlock_diag(spark, sf_dir):
+    return _session(spark).lwlock_diag()
+
+
+@query("SELECT count(*) AS key_count, false AS rewritten, CAST(1 AS BIGINT) AS runs, CAST(1 AS BIGINT) AS ok FROM nation")
+def bgsave_snapshot(spark, sf_dir):
+    kv = _named(spark, sf_dir, _session(spark), "nation", "n_nationkey", "n_name")
+    kv.bgsave()
+    kv.tick()
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        rewritten = kv.bgrewriteaof()
+    again = KeyspaceSession(spark, store=kv.store, clock=kv.clock)  # snapshots and jobs outlive a session
+    runs = again.jobs.stats_table(spark).select(F.col("total_runs").alias("runs"), F.col("successful_runs").alias("ok"))
+    return again.snapshots_table().select("key_count", F.lit(rewritten).alias("rewritten")).crossJoin(runs)  # one row each
+
+
+@query("""SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'ttl_cleanup', CAST(60000000 AS BIGINT), true, CAST(2 AS BIGINT), CAST(2 AS BIGINT), CAST(0 AS BIGINT), NULL),
+(3, 'snapshot_save', 3600000000, true, NULL, NULL, NULL, NULL), (4, 'unknown', 1000000, true, 1, 0, 1, 'job type "unknown" is not implemented'))
+t(job_id, job_type, schedule_us, enabled, total_runs, successful_runs, failed_runs, last_error)""")
+def jobs_lifecycle(spark, sf_dir):
+    kv = _session(spark)
+    ids = [kv.add_ttl_cleanup_policy(60_000_000), kv.add_flush_policy(30_000_000), kv.add_snapshot_policy(3_600_000_000), kv.jobs.add("unknown", 1_000_000)]
+    kv.delete_job(ids[1])
+    for job_id in (ids[0], ids[0], ids[1], ids[3]):
+        kv.run_job(job_id)
+    stats = kv.jobs.stats_table(spark).select("job_id", "total_runs", "successful_runs", "failed_runs")
+    return kv.jobs.jobs_table(spark).join(stats, "job_id", "left").select("job_id", "job_type", "schedule_us", "enabled", "total_runs", "successful_runs", "failed_runs", "last_error")
+
+
 # A keyspace joined with other tables, as its host's users would
 
 

@@ -33,28 +33,23 @@ class Store:
 
     def version(self) -> str | None:
         """The current version's folder, which the newest manifest names."""
-        place = self._path(f"{self.folder}/manifests")
-        if not self._fs.exists(place):
-            return None
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(place) if not s.getPath().getName().startswith("."))
-        if not names:
-            return None
-        file = self._fs.open(self._path(f"{self.folder}/manifests/{names[-1]}"))
-        try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
-        finally:
-            file.close()
+        return self.text("manifests")
 
     def table(self, name: str, version: str | None = None) -> DataFrame:
         version = version or self.version()
         return self.spark.createDataFrame([], TABLES[name]) if version is None else self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{version}/{name}")
 
-    def state(self, now: Column | None = None) -> DataFrame:
-        """STATE rows of all keys (of live ones at now); empty hashes and lists have rows too."""
-        store = self.table("store")
+    def state(self, now: Column | None = None, key: str | None = None) -> DataFrame:
+        """STATE rows of all keys (of live ones at now, or of one key); empty hashes and lists have rows too.
+
+        One key's rows are found by a filter that reaches the files, so nothing else is read, shuffled or sent.
+        """
+        version = self.version()
+        own = lambda name: self.table(name, version) if key is None else self.table(name, version).where(F.col("key") == key)
+        store = own("store")
         store = store if now is None else store.where(F.col("expire_at").isNull() | (F.col("expire_at") > now))
-        fields = self.table("hash_fields").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("field", F.decode("value", "UTF-8")))).alias("fields"))
-        items = self.table("list_items").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ord", F.decode("value", "UTF-8").alias("value")))).alias("items"))
+        fields = own("hash_fields").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("field", F.decode("value", "UTF-8")))).alias("fields"))
+        items = own("list_items").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ord", F.decode("value", "UTF-8").alias("value")))).alias("items"))
         rows = store.join(fields, "key", "left").join(items, "key", "left")
         no_fields, no_items = F.create_map().cast("map<string,string>"), F.array().cast("array<struct<ord:long,value:string>>")
         return rows.select("key", "type", codec.decode_string(F.col("value")).alias("str"), codec.decode_int(F.col("value")).alias("int"), F.when(F.col("type") == "hash", F.coalesce("fields", no_fields)).alias("fields"), F.when(F.col("type") == "list", F.coalesce("items", no_items)).alias("items"), "expire_at", "version")
@@ -77,6 +72,51 @@ class Store:
         expired = self.table("store").where(F.col("expire_at") <= now).select("key")
         self.commit(self.spark.createDataFrame([], "key string, type string, str string, int long, fields map<string,string>, items array<struct<ord:long,value:string>>, expire_at timestamp, version long"), expired, now)
 
+    def insert(self, rows: DataFrame, now: Column) -> None:
+        """Put new keys in place; error 23505 if one is there already or twice in rows (STATE)."""
+        known = self.table("store").select("key")
+        twice = rows.groupBy("key").count().where("count > 1").select("key")
+        clash = rows.select("key").join(known, "key", "left_semi").union(twice).first()
+        if clash is not None:
+            raise KvError("23505", "duplicate key value violates unique constraint", f'key "{clash.key}" already exists')
+        self.commit(rows, None, now)
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Add rows to a table without versions (snapshots)."""
+        rows.write.mode("append").parquet(f"{self.folder}/{name}")
+
+    def appended(self, name: str, schema: str) -> DataFrame:
+        there = self._fs.exists(self._path(f"{self.folder}/{name}"))
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}") if there else self.spark.createDataFrame([], schema)
+
+    def put_text(self, name: str, text: str) -> None:
+        """Replace a small document: a file of a higher number, whole once it is renamed."""
+        names = self._numbered(name)
+        number = f"{int(names[-1]) + 1 if names else 1:09d}"
+        draft = self._path(f"{self.folder}/{name}/.{number}-{uuid.uuid4().hex[:8]}")
+        out = self._fs.create(draft)
+        out.write(text.encode())
+        out.close()
+        if not self._fs.rename(draft, self._path(f"{self.folder}/{name}/{number}")):
+            raise KvError("40001", "could not serialize access due to concurrent update", f"{name} {number} is another session's")
+        for old in names[:-1]:
+            self._fs.delete(self._path(f"{self.folder}/{name}/{old}"), False)
+
+    def text(self, name: str) -> str | None:
+        names = self._numbered(name)
+        return self._read(f"{name}/{names[-1]}") if names else None
+
+    def _numbered(self, name: str) -> list[str]:
+        place = self._path(f"{self.folder}/{name}")
+        return sorted(n for s in self._fs.listStatus(place) if not (n := s.getPath().getName()).startswith(".")) if self._fs.exists(place) else []
+
+    def _read(self, name: str) -> str:
+        file = self._fs.open(self._path(f"{self.folder}/{name}"))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+        finally:
+            file.close()
+
     def _write(self, tables: dict[str, DataFrame], base: str | None) -> None:
         """Write and publish the version after base; error 40001 if another one was published since."""
         name = f"v{int((base or 'v0').split('-')[0][1:]) + 1:09d}"

@@ -1,6 +1,7 @@
 """Set-based forms against the fold, durable tables, sessions, jobs, snapshots and the stream."""
 
 import random
+import time
 import warnings
 from datetime import datetime, timedelta
 
@@ -156,6 +157,64 @@ def test_introspection_snapshots_and_jobs(kv):
     assert kv.lwlock_diag().count() == 0 and kv.flushall() and kv.memory_usage() == 0 and kv.keys().count() == 0 and kv.store.table("store").count() == 0
 
 
+def test_jobs_and_snapshots_outlive_a_session(kv, spark):
+    kv.set("k", "v"), kv.save()
+    job, other = kv.add_ttl_cleanup_policy(60_000_000), kv.add_snapshot_policy(60_000_000)
+    assert kv.run_job(job) and kv.delete_job(other)
+    again = KeyspaceSession(spark, store=kv.store, clock=kv.clock)
+    assert [r.key_count for r in again.snapshots_table().collect()] == [1] and list(again.jobs.rows) == [job]
+    assert again.jobs.stats[job].successful_runs == 1 and again.add_flush_policy(1) == other + 1
+
+
+def test_a_key_is_read_alone(kv, spark):
+    kv.begin()
+    for i in range(20):
+        kv.hset(f"h{i}", "f", str(i))
+    kv.commit()
+    again = KeyspaceSession(spark, store=kv.store, clock=kv.clock)
+    assert again.hget("h7", "f") == "7" and again.get("none") is None and list(again.entries) == ["h7", "none"]
+    again.hset("h7", "g", "x"), again.delete("h8")
+    assert {r.key for r in again.keys().collect()} == {f"h{i}" for i in range(20) if i != 8}
+    plan = kv.store.state(key="h7")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EqualTo(key,h7)") == 3
+
+
+def test_inserts_are_unique(spark):
+    from keyloom.sources.store import Store
+
+    store, row = Store(spark), fold.states(fold.fold(log(spark, ("SET", "a", None, "1"))))
+    for rows, fails in ((row.union(row), True), (row, False), (row, True)):
+        if fails:
+            with pytest.raises(KvError) as e:
+                store.insert(rows, F.current_timestamp())
+            assert e.value.sqlstate == "23505"
+        else:
+            store.insert(rows, F.current_timestamp())
+    assert store.table("store").count() == 1
+
+
+def test_background_work(spark):
+    clock = Clock()
+    kv = KeyspaceSession(spark, KeyspaceConfig(persistence_mode="async_table", storage_mode="shared"), clock=clock)
+    kv.set("a", "1"), kv.set("old", "1"), kv.expire("old", 10)
+    assert kv.tick() == 0 and kv.store.version() is None
+    clock.now += 5_000_000
+    kv.tick()
+    assert kv.store.table("store").count() == 2 and kv.ring_inspect().first().events_pending == 0
+    kv.bgsave()
+    clock.now += 30_000_000
+    assert kv.tick() == 1 and [r.key for r in kv.store.table("store").collect()] == ["a"]
+    worker = KeyspaceSession(spark, KeyspaceConfig(persistence_mode="async_table", storage_mode="shared", enable_background_worker=True, flush_interval=1))
+    worker.set("k", "v")
+    for _ in range(100):
+        if worker.store.version() is not None:
+            break
+        time.sleep(0.3)
+    assert worker.store.table("store").count() == 1 and worker.worker.last_error is None
+    worker.close()
+    assert worker.worker is None
+
+
 def test_a_failed_job_is_recorded():
     jobs = Scheduler({}, Clock())
     assert jobs.run(jobs.add("aof_rewrite", 1)) and jobs.stats[1].failed_runs == 1 and "not implemented" in jobs.rows[1].last_error
@@ -172,6 +231,34 @@ def test_stream_equals_fold(spark):
     assert pipeline.last_writes(numbered).where("pos <> 2").isEmpty()
 
 
+def test_events_replay_to_the_drained_tables(spark):
+    from keyloom.sources.store import Store
+
+    ops = [*["LPUSH", "RPUSH"] * 3, *["LPOP", "RPOP"] * 2, *["HSET", "HDEL"] * 3, "SET", "DEL"]
+    df = random_log(spark, ops, n=600, seed=4)
+    store = Store(spark)
+    _, folder = pipeline.run(df, store=store)
+    rows = spark.read.schema(f"{fold.FOLDED}, batch int").parquet(f"{folder}/out")
+    events = pipeline.events(rows, F.col("batch").cast("long")).cache()
+    assert {r.etype for r in events.select("etype").distinct().collect()} == {"KEY_UPSERT", "KEY_DELETE", "HASH_FIELD_UPSERT", "HASH_FIELD_DELETE", "LIST_ITEM_INSERT", "LIST_ITEM_DELETE"}
+    for name, left in pipeline.replayed(events).items():
+        there = store.table(name).select(*left.columns)
+        assert sorted(map(str, left.collect())) == sorted(map(str, there.collect())), name
+    state = {r.key: (r.str, r.fields, r["items"]) for r in fold.states(fold.fold(df)).collect()}
+    assert {r.key: (r.str, r.fields, r["items"]) for r in store.state().collect()} == state
+
+
+def test_timers_remove_expired_entries(spark):
+    commands = [("SET", "a", None, "1"), ("EXPIRE", "a", None, None, 5), ("SET", "b", None, "1"), *[("SET", "c", None, str(i)) for i in range(60)], ("DEL", "a"), ("DEL", "b")]
+    rows = [(i, START + timedelta(seconds=i), None, op, key, *(list(rest) + [None] * 3)[:3]) for i, (op, key, *rest) in enumerate(commands)]
+    df = spark.createDataFrame(rows, COMMAND)
+    _, folder = pipeline.run(df, lateness="2 seconds")
+    out = spark.read.schema(f"{fold.FOLDED}, batch int").parquet(f"{folder}/out")
+    found = {r.key: r.reply_bool for r in out.where("op = 'DEL'").collect()}
+    assert found == {"a": False, "b": True}
+    assert out.where("kind = 'gone' AND key = 'a'").agg(F.min("batch")).first()[0] < out.agg(F.max("batch")).first()[0]
+
+
 def test_entry_point(spark):
     import __spark_entry__ as e
 
